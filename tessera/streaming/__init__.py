@@ -1,0 +1 @@
+"""Batch only by design: the linkage model has no streaming operators (see README)."""
