@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, packing, quality_rules, simhash_dedup, source_mix, topk_search, url_filter
+from tessera.llm import common, packing, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages")).drop("p_block")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op5_top_k": op5_top_k,
     "op6_url_filter": op6_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
