@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, packing, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
+from tessera.llm import common, html_extract, packing, pii_sanitize, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_sanitize.report(common.table(spark, sf_dir, "documents"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(common.table(spark, sf_dir, "embeddings"))
 
@@ -28,6 +32,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages")).drop("p_block")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(common.table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -44,8 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
+    "op3_pii": op3_pii,
     "op5_top_k": op5_top_k,
     "op6_url_filter": op6_url_filter,
+    "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
