@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, html_extract, packing, pii_sanitize, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
+from tessera.llm import common, html_extract, lbl_lm, packing, pii_sanitize, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_sanitize.report(common.table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_lm.score(common.table(spark, sf_dir, "documents"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(common.table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
     "op3_pii": op3_pii,
+    "op4_language_model": op4_language_model,
     "op5_top_k": op5_top_k,
     "op6_url_filter": op6_url_filter,
     "op7_main_text": op7_main_text,
