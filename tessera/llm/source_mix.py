@@ -65,6 +65,50 @@ def _extra(fraction: Column, place: Column, offset: float | Column) -> Column:
     return (F.floor((place + 1) * fraction + offset) - F.floor(place * fraction + offset)).cast("long")
 
 
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """The columns carry of docs and id, source, size, mark (a seeded order) and cell (source, size class, salt)."""
+    known = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(id_col).alias("id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"))
+    mark = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    marked = known.withColumn("mark", mark)
+    name = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
+    return marked.withColumn("cell", F.concat_ws("|", _size_class().cast("string"), F.substring("mark", 1, 1), name))
+
+
+def _size_class() -> Column:
+    """Digits and first two digits of a size, as one number: a class spans ten percent at most."""
+    digits = F.col("size").cast("string")
+    return F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
+
+
+def _placed(sized: DataFrame, bases: DataFrame) -> DataFrame:
+    """sized with each document's place in its source."""
+    inside = Window.partitionBy("cell").orderBy(F.desc("size"), "mark", "id")
+    ranked = sized.withColumn("inside", F.row_number().over(inside) - 1)
+    return ranked.join(bases, "cell").withColumn("place", F.col("base") + F.col("inside")).drop("cell", "inside", "base", "mark")
+
+
+def _plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For sized documents without texts: where each cell's places begin, and each source's rates."""
+    goal = targets(sized.select("source", "size"))
+    counted = sized.groupBy("source", "cell", _size_class().alias("size_class"), F.substring("mark", 1, 1).alias("salt")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy(F.desc("size_class"), "salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate)).withColumnRenamed("source", "g_source")
+    tried = _placed(sized, bases).join(goal, F.col("source").eqNullSafe(F.col("g_source")))
+    sums = [F.sum(F.col("size") * _extra(F.col("fraction"), F.col("place"), j / OFFSETS)).alias(f"x{j}") for j in range(OFFSETS)]
+    of_source = tried.groupBy("g_source", "source_size", "target", "whole", "fraction").agg(*sums)
+    misses = F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"x{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)])
+    rates = of_source.select("g_source", "source_size", "target", "whole", "fraction", (F.array_min(misses)["j"] / OFFSETS).alias("offset"))
+    return bases, rates
+
+
+def _repeated(sized: DataFrame, bases: DataFrame, rates: DataFrame) -> DataFrame:
+    joined = _placed(sized, bases).join(rates, F.col("source").eqNullSafe(F.col("g_source")))
+    copies = F.col("whole") + _extra(F.col("fraction"), F.col("place"), F.col("offset"))
+    return joined.withColumn("copies", copies.cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """A row per row of docs: (id, source, size, source_size, target, copies, taken).
 
@@ -73,49 +117,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     with no words at all every target is 0; an empty table gives an empty
     result; other columns are ignored. Reruns agree.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"))
-    sized, _ = common.materialize(rows)
-    goal = targets(sized)
-    digits = F.col("size").cast("string")
-    mark = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = sized.withColumn("mark", mark).withColumn("salt", F.substring("mark", 1, 1))
-    keyed = keyed.withColumn("size_class", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
-    counted = keyed.groupBy("source", "size_class", "salt").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy(F.desc("size_class"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select("source", "size_class", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "size_class", "salt").orderBy(F.desc("size"), "mark", "id")
-    ranked = keyed.withColumn("inside", F.row_number().over(inside) - 1)
-    b = bases.withColumnsRenamed({"source": "b_source", "size_class": "b_class", "salt": "b_salt"})
-    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size_class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt"))
-    placed = ranked.join(b, same).select("id", "source", "size", (F.col("base") + F.col("inside")).alias("place"))
-
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.withColumn("copies_whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
-    g = goal.withColumnRenamed("source", "g_source")
-    joined = placed.join(g, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
-    sums = [F.sum(F.col("size") * _extra(F.col("fraction"), F.col("place"), j / OFFSETS)).alias(f"x{j}") for j in range(OFFSETS)]
-    tried = joined.groupBy("source").agg(F.first("target").alias("t"), F.first("copies_whole").alias("c"), F.first("source_size").alias("s"), *sums)
-    misses = F.array(*[F.struct(F.abs(F.col("c") * F.col("s") + F.col(f"x{j}") - F.col("t")).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)])
-    best = tried.select(F.col("source").alias("o_source"), (F.array_min(misses)["j"] / OFFSETS).alias("offset"))
-    out = joined.join(best, F.col("source").eqNullSafe(F.col("o_source")))
-    copies = (F.col("copies_whole") + _extra(F.col("fraction"), F.col("place"), F.col("offset"))).cast("long")
-    out = out.withColumn("copies", copies)
+    sized, _ = common.materialize(_sized(docs, id_col, source_col, text_col, []))
+    out = _repeated(sized, *_plan(sized))
     return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them: each row as many times as mix() says, perhaps never.
-
-    Rows that share an id and a source are told apart by their size; such rows
-    take the repetitions of that size in turn.
-    """
-    plan = mix(docs, id_col, source_col, text_col)
-    size, turn = common.fresh(docs, "mix_size"), common.fresh(docs, "mix_turn")
-    sized = docs.withColumn(size, common.word_count(F.col(text_col)))
-    sized = sized.withColumn(turn, F.row_number().over(Window.partitionBy(id_col, source_col, size).orderBy(text_col)))
-    plan = plan.withColumn("turn", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.desc("copies"))))
-    p = plan.filter("copies > 0").select(F.col("id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("turn").alias("p_turn"), F.col("copies").alias("p_copies"))
-    same = sized[id_col].eqNullSafe(p["p_id"]) & sized[source_col].eqNullSafe(p["p_source"]) & (sized[size] == p["p_size"]) & (sized[turn] == p["p_turn"])
-    joined = sized.join(p, same)
-    copy = common.fresh(joined, "mix_copy")
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_copies")))).select(*docs.columns)
+    """docs as the mix takes them: each row as many times as its copies say, perhaps never; nulls as in mix()."""
+    sized, _ = common.materialize(_sized(docs, id_col, source_col, text_col, []))
+    whole = _repeated(_sized(docs, id_col, source_col, text_col, docs.columns), *_plan(sized)).filter("copies > 0")
+    copied = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copied.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
