@@ -6,12 +6,14 @@ again among the others by weight until no target is above its cap. That fixed
 point is the water level over sources ordered by size per weight, which running
 sums over the small table of sources give at once.
 
-A document is repeated floor(target / size of source) times; the fraction that
-is left is a systematic sample: documents stand in a seeded order, largest size
-classes first, and one is taken once more whenever its place times the fraction
-passes a whole number. Places come from counts of (source, size class, salt), so
-that no source is ever sorted in one task. Of OFFSETS starting points, the one
-that comes nearest to the source's target is used.
+A document is repeated floor(target / size of source) times; for the fraction
+that is left, some documents are taken once more. Documents fall into size
+classes of at most ten percent. Class by class, from the largest, a seeded
+rounding says how many of a class are taken, as long as the smaller classes can
+still make up for it; so a source comes near its target even if a few long
+documents hold most of it. Within a class, every so-many-th document in a seeded
+order is taken. Places in that order come from counts of (source, size class,
+salt), so no source and no class is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 MAX_EPOCHS = 3
-OFFSETS = 16
 SEED = "mix-1"
 
 
@@ -59,12 +60,6 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rest.select("source", "source_size", target.alias("target"))
 
 
-def _extra(fraction: Column, place: Column, offset: float | Column) -> Column:
-    """1 where a document is taken once more, else 0."""
-    offset = offset if isinstance(offset, Column) else F.lit(offset)
-    return (F.floor((place + 1) * fraction + offset) - F.floor(place * fraction + offset)).cast("long")
-
-
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """The columns carry of docs and id, source, size, mark (a seeded order) and cell (source, size class, salt)."""
     known = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(id_col).alias("id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"))
@@ -80,33 +75,52 @@ def _size_class() -> Column:
     return F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
 
 
-def _placed(sized: DataFrame, bases: DataFrame) -> DataFrame:
-    """sized with each document's place in its source."""
-    inside = Window.partitionBy("cell").orderBy(F.desc("size"), "mark", "id")
-    ranked = sized.withColumn("inside", F.row_number().over(inside) - 1)
-    return ranked.join(bases, "cell").withColumn("place", F.col("base") + F.col("inside")).drop("cell", "inside", "base", "mark")
-
-
-def _plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For sized documents without texts: where each cell's places begin, and each source's rates."""
-    goal = targets(sized.select("source", "size"))
-    counted = sized.groupBy("source", "cell", _size_class().alias("size_class"), F.substring("mark", 1, 1).alias("salt")).agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy(F.desc("size_class"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+def _step(state: Column, one: Column) -> Column:
+    """Takes some documents of a size class: as many as a seeded rounding says, unless the rest could not make up for it."""
+    share = F.when(state["left"] > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), state["need"] / state["left"]))).otherwise(F.lit(0.0))
+    low = F.floor(one["n"] * share)
+    pick = F.least(one["n"], F.floor(one["n"] * share + one["u"]))
+    other = F.when(pick == low, F.least(one["n"], low + 1)).otherwise(low)
+    mean, rest = one["s"] / one["n"], state["left"] - one["s"]
+    nothing = F.lit(0.0)
+    miss = lambda m: F.greatest(nothing, m * mean - state["need"]) + F.greatest(nothing, state["need"] - m * mean - rest)
+    taken = F.when(miss(pick) <= miss(other), pick).otherwise(other)
+    done = F.concat(state["done"], F.array(F.struct(one["size_class"].alias("size_class"), one["n"].alias("n"), taken.alias("m"))))
+    return F.struct((state["need"] - taken * mean).alias("need"), rest.alias("left"), done.alias("done"))
+
+
+def _plan(sized: DataFrame) -> DataFrame:
+    """A row per cell of sized(source, size, mark, cell): where its places begin, how many of its class are taken, and its source's rates."""
+    goal = targets(sized.select("source", "size")).withColumnRenamed("source", "g_source")
+    counted = sized.groupBy("source", "cell", _size_class().alias("size_class"), F.substring("mark", 1, 1).alias("salt"))
+    cells = counted.agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    earlier = Window.partitionBy("source", "size_class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cells.select("source", "size_class", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    classes = cells.groupBy("source", "size_class").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("s"))
+    seeded = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce("source", F.lit("")), F.col("size_class").cast("string")).cast("binary"))
+    u = F.conv(F.substring(seeded, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    # at most 90 classes for each digit of the longest size
+    listed = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size_class", "n", "s", u.alias("u"))), asc=False).alias("classes"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate)).withColumnRenamed("source", "g_source")
-    tried = _placed(sized, bases).join(goal, F.col("source").eqNullSafe(F.col("g_source")))
-    sums = [F.sum(F.col("size") * _extra(F.col("fraction"), F.col("place"), j / OFFSETS)).alias(f"x{j}") for j in range(OFFSETS)]
-    of_source = tried.groupBy("g_source", "source_size", "target", "whole", "fraction").agg(*sums)
-    misses = F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"x{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)])
-    rates = of_source.select("g_source", "source_size", "target", "whole", "fraction", (F.array_min(misses)["j"] / OFFSETS).alias("offset"))
-    return bases, rates
+    rated = goal.withColumn("whole", F.floor(rate))
+    rated = listed.join(rated, F.col("source").eqNullSafe(F.col("g_source")))
+    start = F.struct(
+        (F.col("target") - F.col("whole") * F.col("source_size")).cast("double").alias("need"),
+        F.col("source_size").cast("double").alias("left"),
+        F.array().cast("array<struct<size_class:int,n:bigint,m:bigint>>").alias("done"),
+    )
+    walked = rated.select("g_source", "source_size", "target", "whole", F.explode(F.aggregate("classes", start, _step)["done"]).alias("d"))
+    taken = walked.select("g_source", "source_size", "target", "whole", F.col("d.size_class").alias("g_class"), F.col("d.n").alias("n"), F.col("d.m").alias("m"))
+    same = F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size_class") == F.col("g_class"))
+    return bases.join(taken, same).select("cell", "base", "n", "m", "source_size", "target", "whole")
 
 
-def _repeated(sized: DataFrame, bases: DataFrame, rates: DataFrame) -> DataFrame:
-    joined = _placed(sized, bases).join(rates, F.col("source").eqNullSafe(F.col("g_source")))
-    copies = F.col("whole") + _extra(F.col("fraction"), F.col("place"), F.col("offset"))
-    return joined.withColumn("copies", copies.cast("long"))
+def _repeated(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """sized with copies: how often the mix takes each document."""
+    inside = Window.partitionBy("cell").orderBy(F.desc("size"), "mark", "id")
+    placed = sized.withColumn("inside", F.row_number().over(inside) - 1).join(plan, "cell").withColumn("place", F.col("base") + F.col("inside"))
+    once_more = F.expr("(place + 1) * m div n - place * m div n")
+    return placed.withColumn("copies", (F.col("whole") + once_more).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -118,13 +132,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     result; other columns are ignored. Reruns agree.
     """
     sized, _ = common.materialize(_sized(docs, id_col, source_col, text_col, []))
-    out = _repeated(sized, *_plan(sized))
+    out = _repeated(sized, _plan(sized))
     return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs as the mix takes them: each row as many times as its copies say, perhaps never; nulls as in mix()."""
     sized, _ = common.materialize(_sized(docs, id_col, source_col, text_col, []))
-    whole = _repeated(_sized(docs, id_col, source_col, text_col, docs.columns), *_plan(sized)).filter("copies > 0")
+    whole = _repeated(_sized(docs, id_col, source_col, text_col, docs.columns), _plan(sized)).filter("copies > 0")
     copied = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return copied.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
