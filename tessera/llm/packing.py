@@ -13,6 +13,7 @@ sequences in PACKER_TOKENS / 4096.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,7 +32,7 @@ OPEN_BINS = 256
 #: Tokens of one packer: 16,384 sequences.
 PACKER_TOKENS = 1 << 26
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 class WordTokenizer:
@@ -44,15 +45,16 @@ class WordTokenizer:
     encoded word by word as they stand.
     """
 
-    PARTING = "0"
+    PARTING = "0"  # as _learn() writes it
     TRAIL = b".,!?;:|%*$&#\"()<>[]{}=/+-_"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[bytes, bytes] = {}
-        self._cores: dict[bytes, bytes] = {b"": b""}
+        self._ids: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         self._plain: dict[bytes, bytes] = {}
         (self._parting,) = self._tokenizer.encode(self.PARTING, add_special_tokens=False).ids
 
@@ -69,40 +71,59 @@ class WordTokenizer:
                 split.append(raw.lower().split())
         self._learn(set().union(*(w for i, w in enumerate(split) if i not in odd)))
         self._learn_plain(set().union(*(split[i] for i in odd)))
-        words, plain = self._words.__getitem__, self._plain.__getitem__
+        words, plain = self._ids.__getitem__, self._plain.__getitem__
         return [b"".join(map(plain if i in odd else words, w)) for i, w in enumerate(split)]
 
     def _learn(self, wanted: set[bytes]) -> None:
-        if len(self._words) > CACHED_WORDS:
-            self._words.clear()
-        if len(self._cores) > CACHED_WORDS:
-            self._cores = {b"": b""}
-        missing = wanted.difference(self._words)
-        parts, cores = [], self._cores
+        """Makes sure that _ids has every wanted word; two generations of CACHED_WORDS words are kept."""
+        if len(self._ids) > CACHED_WORDS:
+            self._older, self._ids = self._ids, {}
+        ids, older = self._ids, self._older
+        missing = wanted.difference(ids)
+        if older:
+            again = missing.intersection(older)
+            ids.update(zip(again, map(older.__getitem__, again)))
+            missing -= again
+        new, ended, trail = [], [], self.TRAIL
         for word in missing:
-            core = word.rstrip(self.TRAIL)
-            if core and len(core) < len(word):
-                last = core[-1:] if core[-1] < 128 else core.decode()[-1]
-                if not (last.isalpha() or last.isdigit()):
-                    core = word
-            parts.append((word, core, word[len(core) :]))
-        new = {c for _, c, t in parts if c not in cores} | {t for _, c, t in parts if t not in cores}
+            core = word.rstrip(trail)
+            if core is word or not core or not (core[-1:].isalnum() or self._ends_in_letter(core)):
+                new.append(word)
+                continue
+            end = word[len(core) :]
+            ended.append((word, core, end))
+            for part in (core, end):
+                if part not in ids:
+                    if part in older:
+                        ids[part] = older[part]
+                    else:
+                        new.append(part)
+        new = list(set(new))
         together = [c for c in new if b"0" not in c]
         apart = [c for c in new if b"0" in c]
-        for at in range(0, len(together), 20_000):
-            part = together[at : at + 20_000]
-            ids = np.array(self._tokenizer.encode(f" {self.PARTING} ".join(c.decode() for c in part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self._parting)
-            if len(ends) != len(part) - 1:
-                apart += part
-                continue
-            raw, starts = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
-            for core, a, b in zip(part, starts, [*(ends * 4).tolist(), len(raw)]):
-                cores[core] = raw[a:b]
+        if together:
+            # short texts: the tokenizer's cost for each word grows with the text around it
+            texts = [b" 0 ".join(together[i : i + 50]).decode() for i in range(0, len(together), 50)]
+            flat: list[int] = []
+            for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                flat += e.ids
+                flat.append(self._parting)
+            found = np.array(flat, "<u4")
+            ends = np.flatnonzero(found == self._parting) * 4
+            if len(ends) == len(together):
+                raw = found.tobytes()
+                ids.update((core, raw[a:b]) for core, a, b in zip(together, [0, *(ends + 4).tolist()], ends.tolist()))
+            else:
+                apart += together
         if apart:
-            for core, e in zip(apart, self._tokenizer.encode_batch([c.decode() for c in apart], add_special_tokens=False)):
-                cores[core] = np.array(e.ids, "<u4").tobytes()
-        self._words.update((w, cores[c] + cores[t]) for w, c, t in parts)
+            encoded = self._tokenizer.encode_batch([c.decode() for c in apart], add_special_tokens=False)
+            ids.update((core, np.array(e.ids, "<u4").tobytes()) for core, e in zip(apart, encoded))
+        ids.update((word, ids[core] + ids[end]) for word, core, end in ended)
+
+    @staticmethod
+    def _ends_in_letter(core: bytes) -> bool:
+        last = core.decode()[-1]
+        return last.isalpha() or last.isdigit()
 
     def _learn_plain(self, wanted: set[bytes]) -> None:
         if len(self._plain) > CACHED_WORDS:
