@@ -20,8 +20,8 @@ def truth_sanity(s1: DataFrame, pool: DataFrame, truth: DataFrame) -> DataFrame:
     without = s1.select(F.col("id").alias("s1_id")).join(truth, "s1_id", "left_anti").agg(F.count("*").alias("n_singletons"))
     dangling = truth.join(pool.select(F.col("id").alias("pool_id")), "pool_id", "left_anti").agg(F.count("*").alias("n_dangling"))
     repeated = truth.groupBy("s1_id", "pool_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_repeated"))
-    several = owners.agg(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("n_multi_owner"))
-    mix = truth.agg(F.count("*").alias("n_pairs"), F.sum(F.col("pool_id").startswith("S2-").cast("long")).alias("n_s2"), F.sum(F.col("pool_id").startswith("S3-").cast("long")).alias("n_s3"))
+    several = owners.agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_multi_owner"))
+    mix = truth.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("pool_id").startswith("S2-")).alias("n_s2"), F.count_if(F.col("pool_id").startswith("S3-")).alias("n_s3"))
     out = without  # every side has one row
     for other in (dangling, repeated, several, mix):
         out = out.crossJoin(F.broadcast(other))

@@ -228,7 +228,7 @@ def owned() -> str:
     return f"{accepted()},\nowned AS (SELECT s1_id, pool_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY round(prob, 9) DESC, s1_id) AS place FROM accepted) WHERE place = 1)"
 
 
-_block = "try_cast(regexp_extract(address, '([0-9]+)', 1) AS BIGINT) // 100"
+_block = "try_cast(regexp_extract(address, '([0-9]+)', 1) AS BIGINT) // 1000"
 TRUTH = f"truth AS (SELECT x.id AS s1_id, y.id AS pool_id FROM (SELECT id, name, country, {_block} AS k FROM s1) x JOIN (SELECT id, name, country, {_block} AS k FROM pool) y ON x.name = y.name AND x.country = y.country AND x.k = y.k)"
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import blocking, competition, features, scoring
+from tessera.plans.store import stored
 
 
 @dataclass(frozen=True)
@@ -20,12 +20,11 @@ class ResolveConfig:
 def prepared_sides(records: DataFrame, dialect: str = "batch") -> tuple[DataFrame, DataFrame]:
     """(S1, pool) of records with a src column.
 
-    Every step reads the prepared records, so they are computed once and kept in
-    memory or on the executors' disks; a lost executor's part is computed again.
-    The cache is also where the optimizer stops copying normalisation into the
-    plans above it.
+    Every step reads the prepared records, so they are computed once and stored
+    in the shared folder. That also keeps the normalisation out of the plans
+    above, which the optimizer would otherwise copy into their filters and joins.
     """
-    prepared = blocking.prepare(records, dialect).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = stored(blocking.prepare(records, dialect))
     return prepared.filter("src = 'S1'"), prepared.filter("src <> 'S1'")
 
 

@@ -71,8 +71,8 @@ def from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proxy_truth(s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """(s1_id, pool_id): a stand-in for truth: pages of one site and language whose numbers share their hundreds."""
-    number = lambda: F.expr("try_cast(regexp_extract(address, '([0-9]+)', 1) as bigint) div 100")
+    """(s1_id, pool_id): a stand-in for truth: pages of one site and language whose numbers share their thousands."""
+    number = lambda: F.expr("try_cast(regexp_extract(address, '([0-9]+)', 1) as bigint) div 1000")
     a = s1.select(F.col("id").alias("s1_id"), "name", "country", number().alias("block"))
     b = pool.select(F.col("id").alias("pool_id"), "name", "country", number().alias("block"))
     return a.join(b, ["name", "country", "block"]).select("s1_id", "pool_id")
