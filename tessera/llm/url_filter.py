@@ -51,6 +51,7 @@ GRAMS = (3, 4, 5)
 HOST_GRAM = 0.125
 ROUNDS = 120
 RATE = 1.0
+BLOCK_WEIGHT = 4.0
 DECAY = 1e-5
 THRESHOLD = 0.5
 DIGITS = 6
@@ -93,7 +94,7 @@ def trained_weights() -> tuple[float, tuple[float, ...]]:
     for _ in range(ROUNDS):
         for x, y in rows:
             z = bias + sum(weights[b] * v for b, v in x.items())
-            miss = y - 1 / (1 + math.exp(-z))
+            miss = (y - 1 / (1 + math.exp(-z))) * (BLOCK_WEIGHT if y else 1.0)
             bias += RATE / 100 * miss
             for b, v in x.items():
                 weights[b] += RATE * miss * v - DECAY * weights[b]
