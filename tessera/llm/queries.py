@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, html_extract, lbl_lm, packing, pii_sanitize, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
+from tessera.llm import common, duck, html_extract, lbl_lm, packing, pii_sanitize, quality_rules, simhash_dedup, source_mix, topk_search, toxicity, url_filter
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+#: The others need XXH64, a tokenizer, positions of matches, trained models or a DOM, which SQL does not have.
+ORACLES: dict[str, str] = {
+    "op2_mix": duck.mixed(),
+    "op5_top_k": duck.top_k(),
+    "op6_url_filter": duck.url_verdicts(),
+    "op10_quality": duck.quality(),
+}
