@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(lines: DataFrame, id_sep: str = ",") -> DataFrame:
     fields = F.split("value", "\t")
-    ids = F.filter(F.transform(F.split(F.coalesce(F.get(fields, F.lit(1)), F.lit("")), id_sep), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(F.get(fields, F.lit(1)), F.lit("")), id_sep), lambda x: F.trim(x)), lambda x: x != "")
     return lines.filter("line > 1").select("line", F.size(fields).alias("n_fields"), F.trim(F.get(fields, F.lit(0))).alias("s1_id"), F.get(fields, F.lit(1)).alias("raw"), ids.alias("ids"))
 
 

@@ -97,10 +97,9 @@ def jaro_winkler(a: str, b: str) -> str:
 
 #: The records of pages, as sources.records.from_pages() makes them.
 RECORDS = r"""
-pages_ AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-src_ AS (SELECT *, regexp_extract(host, '^(www|m|blog)\.', 1) AS prefix FROM pages_),
-records AS (SELECT src, src || '-' || lpad(page_id::VARCHAR, 8, '0') AS id, replace(regexp_replace(host, '^(www|m|blog)\.', ''), '.', ' ') AS name, path AS address, regexp_extract(path, '^/([a-z]{2})/', 1) AS country
-  FROM (SELECT *, CASE WHEN prefix = '' THEN 'S1' WHEN prefix IN ('www', 'm') THEN 'S2' ELSE 'S3' END AS src FROM src_))"""
+pages_ AS (SELECT page_id, coalesce(url, '') AS url, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+src_ AS (SELECT *, CASE WHEN contains(url, '?') THEN 'S2' WHEN regexp_matches(url, '(\.html|/|#[^#]*)$') THEN 'S3' ELSE 'S1' END AS src FROM pages_),
+records AS (SELECT src, src || '-' || lpad(page_id::VARCHAR, 8, '0') AS id, replace(regexp_replace(host, '^(www|m|blog)\.', ''), '.', ' ') AS name, path AS address, regexp_extract(path, '^/([a-z]{2})/', 1) AS country FROM src_)"""
 
 _stop = "CASE country WHEN " + " WHEN ".join(f"'{k}' THEN {text_list(v)}" for k, v in vocab.FREQUENT_WORDS.items()) + f" ELSE {text_list(vocab.FREQUENT_WORDS['US'])} END"
 _core = f"list_filter(name_toks, lambda t: NOT list_contains({_stop}, t))"
@@ -228,7 +227,7 @@ def owned() -> str:
     return f"{accepted()},\nowned AS (SELECT s1_id, pool_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY round(prob, 9) DESC, s1_id) AS place FROM accepted) WHERE place = 1)"
 
 
-_block = "try_cast(regexp_extract(address, '([0-9]+)', 1) AS BIGINT) // 1000"
+_block = "try_cast(regexp_extract(address, '([0-9]+)', 1) AS BIGINT) // 100"
 TRUTH = f"truth AS (SELECT x.id AS s1_id, y.id AS pool_id FROM (SELECT id, name, country, {_block} AS k FROM s1) x JOIN (SELECT id, name, country, {_block} AS k FROM pool) y ON x.name = y.name AND x.country = y.country AND x.k = y.k)"
 
 

@@ -23,7 +23,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_list(c):
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def standardise(raw: DataFrame, default_country: str = "US") -> DataFrame:
@@ -51,15 +51,14 @@ PATH = r"://[^/?#]*([^?#]*)"
 
 
 def from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of web pages: the bare site is source S1, its www and m hosts S2, other prefixed hosts S3.
+    """Records of web pages: plain addresses are source S1, those with a query S2, all other forms S3.
 
-    The name is the site's host without the prefix, the address its path, the
-    country the path's language.
+    The name is the site's host without the www, m or blog prefix, the address
+    its path, the country the path's language.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     host = F.lower(F.regexp_extract("url", HOST, 1))
-    prefix = F.regexp_extract(host, r"^(www|m|blog)\.", 1)
-    src = F.when(prefix == "", "S1").when(prefix.isin("www", "m"), "S2").otherwise("S3")
+    src = F.when(F.col("url").contains("?"), "S2").when(F.col("url").rlike(r"(\.html|/|#[^#]*)$"), "S3").otherwise("S1")
     path = F.regexp_extract("url", PATH, 1)
     return pages.select(
         src.alias("src"),
@@ -71,8 +70,8 @@ def from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proxy_truth(s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """(s1_id, pool_id): a stand-in for truth: pages of one site and language whose numbers share their thousands."""
-    number = lambda: F.expr("try_cast(regexp_extract(address, '([0-9]+)', 1) as bigint) div 1000")
+    """(s1_id, pool_id): a stand-in for truth: pages of one site and language whose numbers share their hundreds."""
+    number = lambda: F.expr("try_cast(regexp_extract(address, '([0-9]+)', 1) as bigint) div 100")
     a = s1.select(F.col("id").alias("s1_id"), "name", "country", number().alias("block"))
     b = pool.select(F.col("id").alias("pool_id"), "name", "country", number().alias("block"))
     return a.join(b, ["name", "country", "block"]).select("s1_id", "pool_id")
