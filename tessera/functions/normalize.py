@@ -20,6 +20,7 @@ INDIC_WORD = r"(?U)[\wऀ-ൿ]+"
 NON_LATIN = r"[^\x00-\x7FÀ-ɏ]"
 ORDINAL = "^[0-9]+(st|nd|rd|th)$"
 BOUNDARY = "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])"
+LAST_LATIN = "\u024F"
 OPEN, CLOSE, INHERENT = "\u0001", "\u0002", "\u0003"
 
 
@@ -54,10 +55,19 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
 def fold(s: Column) -> Column:
     """s without diacritics: compatibility characters decomposed, combining marks dropped."""
     one, other, several = _foldings()
+    latin = {c: plain for c, plain in several.items() if c <= LAST_LATIN}
+    few = [(c, plain) for c, plain in zip(one, other) if c <= LAST_LATIN]
+    light = F.translate(_spelled(s, latin), "".join(c for c, _ in few), "".join(plain for _, plain in few))
+    full = F.regexp_replace(F.translate(_spelled(s, several), one, other), _combining(), "")
+    # Latin letters alone need neither the long tables nor the class of marks
+    return F.when(s.rlike(rf"[^\x00-{LAST_LATIN}]"), full).otherwise(light)
+
+
+def _spelled(s: Column, several: dict[str, str]) -> Column:
+    """s with each character that stands for several ones spelled out."""
     table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
     char = lambda c: F.coalesce(F.try_element_at(table, c), c)
-    spelled = F.when(s.rlike("[" + "".join(several) + "]"), F.array_join(F.transform(F.split(s, ""), char), "")).otherwise(s)
-    return F.regexp_replace(F.translate(spelled, one, other), _combining(), "")
+    return F.when(s.rlike("[" + "".join(several) + "]"), F.array_join(F.transform(F.split(s, ""), char), "")).otherwise(s)
 
 
 @cache
