@@ -9,6 +9,27 @@ HEADER = "source1_entity_id\tmatched_entity_ids"
 CANDIDATE_HEADER = "source1_entity_id\tcandidate_entity_ids"
 
 
+def file_issue(spark: SparkSession, path: str) -> str | None:
+    """missing or empty, if the file is; else None."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return "missing"
+    return "empty" if files.getContentSummary(at).getLength() == 0 else None
+
+
+def candidate_issues(lines: DataFrame) -> DataFrame:
+    """(severity, line, s1_id, rule): a warning where a candidate file's header is wrong."""
+    wrong = lines.filter("line = 1").filter(F.trim("value") != CANDIDATE_HEADER)
+    return wrong.select(F.lit("warning").alias("severity"), F.col("line").cast("int").alias("line"), F.lit("").alias("s1_id"), F.lit("candidate_header").alias("rule"))
+
+
+def summary(found: DataFrame, most: int = 10) -> tuple[bool, list[str]]:
+    """Whether there is no error, and the first issues as text."""
+    first = found.orderBy(F.col("severity"), "line", "rule").limit(most).collect()
+    return found.filter("severity = 'error'").isEmpty(), [f"{r['severity']}: line {r['line']}: {r['s1_id']}: {r['rule']}" for r in first]
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of one text file; line numbers begin at 1. The file is a single result file, read as one."""
     whole = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))

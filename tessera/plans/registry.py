@@ -603,3 +603,80 @@ def owned_elsewhere(spark, sf_dir):
 @query(f"WITH {duck.scored()} SELECT s1_id, pool_id, (prob >= 0.9)::INT AS y FROM scored WHERE prob >= 0.9 OR prob <= 0.1")
 def pseudo_labels(spark, sf_dir):
     return learn.pseudo_labels(_scored(spark, sf_dir))
+
+
+# --- further rows of the inventory -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {duck.PREPARED} SELECT id, {duck.clean('name')} AS cleaned, name_text, array_to_string(list_transform(name_toks, lambda t: {duck.skeleton('t')}), ' ') AS skeletons, addr_text FROM prep")
+def normalisation_trace(spark, sf_dir):
+    skeletons = F.array_join(F.transform("name_toks", lambda t: normalize.skeleton(t)), " ")
+    return _prepared(spark, sf_dir).select("id", normalize.clean("name").alias("cleaned"), "name_text", skeletons.alias("skeletons"), "addr_text")
+
+
+@query(f"WITH {duck.INDEX} SELECT substr(key, 1, 1) AS kind, count(*) AS n_keys, sum(df)::BIGINT AS n_postings, max(df) AS longest FROM df GROUP BY 1")
+def key_kinds(spark, sf_dir):
+    df = blocking.document_frequency(blocking.exploded_keys(_sides(spark, sf_dir)[1]))
+    return df.groupBy(F.substring("key", 1, 1).alias("kind")).agg(F.count("*").alias("n_keys"), F.sum("df").alias("n_postings"), F.max("df").alias("longest"))
+
+
+_STUDIO = {k: v.replace("round_even(", "round(") for k, v in duck.FEATURES.items() if k.startswith(("name_", "skel_", "core_", "addr_", "block_"))}
+
+
+@query(
+    f"WITH {duck.candidates()} SELECT s1_id, pool_id, {', '.join(f'{v} AS {k}' for k, v in _STUDIO.items())}, round(({_STUDIO['name_token_set']}) - max({_STUDIO['name_token_set']}) OVER (PARTITION BY s1_id), 4) AS name_token_set_vs_best FROM pairs"
+)
+def pair_features_studio(spark, sf_dir):
+    return features.extract(_pairs(spark, sf_dir), "studio", relative_to_best=True).select("s1_id", "pool_id", *_STUDIO, "name_token_set_vs_best")
+
+
+SLIDER = [round(0.3 + 0.005 * i, 3) for i in range(111)]
+
+
+def _swept_sql(thresholds: list[float], one_owner: bool) -> str:
+    listed = "[" + ", ".join(f"{t}::DOUBLE" for t in thresholds) + "]"
+    place = "row_number() OVER (PARTITION BY threshold, pool_id ORDER BY round(prob, 9) DESC, s1_id)" if one_owner else "1"
+    return (
+        f"WITH {duck.scored()}, {duck.TRUTH}, over_ AS (SELECT s1_id, pool_id, prob, t.threshold FROM scored, (SELECT unnest({listed}) AS threshold) t WHERE round(prob, 9) >= t.threshold), "
+        f"won AS (SELECT * FROM (SELECT *, {place} AS place FROM over_) WHERE place = 1), {duck.entity_scores('won', 'threshold', f'(SELECT id AS s1_id, unnest({listed}) AS threshold FROM s1)')} {duck.report('threshold')}"
+    )
+
+
+@query(_swept_sql(SLIDER, True))
+def slider_sweep(spark, sf_dir):
+    return evaluate.threshold_sweep(_scored(spark, sf_dir), _entities(spark, sf_dir), _truth(spark, sf_dir), SLIDER)
+
+
+@query(_swept_sql(THRESHOLDS, False))
+def threshold_sweep_shared(spark, sf_dir):
+    return evaluate.threshold_sweep(_scored(spark, sf_dir), _entities(spark, sf_dir), _truth(spark, sf_dir), THRESHOLDS, one_owner=False)
+
+
+_SPLIT = f"split_ AS (SELECT id AS s1_id, row_number() OVER (ORDER BY {duck.seeded()}, id) > floor(count(*) OVER () * 0.8) AS validation FROM s1)"
+
+
+@query(f"WITH {duck.owned()}, {duck.TRUTH}, {_SPLIT}, {duck.entity_scores('owned', '', '(SELECT s1_id FROM split_ WHERE validation)')} {duck.report()}")
+def full_competition(spark, sf_dir):
+    """Every owner competes; only the validation part is scored."""
+    part = evaluate.split(_sides(spark, sf_dir)[0]).filter("part = 'validation'").select(F.col("id").alias("s1_id"))
+    return evaluate.report(evaluate.entity_scores(part, resolve.matches(_scored(spark, sf_dir), CONFIG), _truth(spark, sf_dir)))
+
+
+@query(
+    f"WITH {duck.candidates()}, {_WORDS}, r AS (SELECT w.country, word, {_conflict} AS y FROM words_ w JOIN pairs p ON p.s1_id = w.s1_id AND p.pool_id = w.pool_id WHERE kind = 'extra'), m AS (SELECT country, avg(y) AS mean FROM r GROUP BY 1), "
+    "rates AS (SELECT r.country, word, round((sum(y) + 5.0::DOUBLE * mean) / (count(*) + 5.0::DOUBLE), 9) AS rate FROM r JOIN m ON m.country = r.country GROUP BY r.country, word, mean) "
+    "SELECT s1_id, pool_id, max(rate) AS sib_max, round(avg(rate), 6) AS sib_mean, count(*) FILTER (rate > 0.5) AS sib_n_high FROM words_ w JOIN rates ON rates.country = w.country AND rates.word = w.word WHERE kind = 'extra' GROUP BY ALL"
+)
+def sibling_features(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    found = learn.sibling_features(pairs, learn.sibling_rates(pairs))
+    return found.select("s1_id", "pool_id", "sib_max", F.round("sib_mean", 6).alias("sib_mean"), "sib_n_high")
+
+
+@query(
+    f"WITH {duck.PREPARED}, w AS (SELECT country, unnest(list_distinct(addr_toks)) AS word FROM prep), f AS (SELECT country, word, count(*) AS df FROM w GROUP BY ALL), "
+    "k AS (SELECT p.id, word, row_number() OVER (PARTITION BY p.id ORDER BY df, word) AS r FROM (SELECT id, country, unnest(list_distinct(addr_toks)) AS word FROM prep) p JOIN f USING (country, word) WHERE NOT regexp_full_match(word, '[0-9]+')) "
+    "SELECT prep.id, CASE WHEN len(numbers) > 0 AND word IS NOT NULL THEN numbers[1] || '_' || word END AS addr_key FROM prep LEFT JOIN k ON k.id = prep.id AND r = 1"
+)
+def address_keys(spark, sf_dir):
+    return learn.address_keys(_prepared(spark, sf_dir))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +31,9 @@ def write_results(s1: DataFrame, matches: DataFrame, path: str, candidates: Data
 def write_dictionary(spark, words: dict[str, str], path: str) -> None:
     """The transliteration dictionary as (indic_word, latin_word)."""
     write_tsv(spark.createDataFrame(sorted(words.items()), "indic_word string, latin_word string"), path)
+
+
+def write_config(config, path: str, **more) -> None:
+    """A configuration dataclass and what is known about it, as JSON on the driver."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"configuration": asdict(config)} | more, f, indent=2)

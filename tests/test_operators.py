@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,20 @@ def test_sweep_and_labels(spark, bench, sides):
     assert {r["status"] for r in labelled.select("status").distinct().collect()} <= {"MATCHED", "REJECTED_PROBABILITY", "REJECTED_SIBLING", "REJECTED_COMPETITION"}
     kept = scoring.sweep(scored, scoring.SWEEP)
     assert {r["iteration"] for r in kept.select("iteration").distinct().collect()} == set(range(1, 7))
+
+
+def test_file_checks(spark, tmp_path):
+    assert validate.file_issue(spark, str(tmp_path / "none.tsv")) == "missing"
+    (tmp_path / "empty.tsv").write_text("")
+    assert validate.file_issue(spark, str(tmp_path / "empty.tsv")) == "empty"
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\n")
+    lines = validate.read_lines(spark, str(tmp_path / "c.tsv"))
+    assert validate.file_issue(spark, str(tmp_path / "c.tsv")) is None
+    assert validate.summary(validate.candidate_issues(lines)) == (True, ["warning: line 1: : candidate_header"])
+    assert validate.summary(validate.issues(lines)) == (True, [])
+
+
+def test_config_file(tmp_path):
+    sinks.write_config(scoring.SWEEP[4], str(tmp_path / "best.json"), macro_f05=0.5)
+    written = json.loads((tmp_path / "best.json").read_text())
+    assert written["configuration"]["unseen_threshold"] == 0.82 and written["macro_f05"] == 0.5
