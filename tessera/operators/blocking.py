@@ -68,7 +68,7 @@ def inverse_frequency(pool: DataFrame, pool_keys: DataFrame, config: BlockingCon
     if config.idf_scope == "country":
         sized = df.join(pool.groupBy("country").agg(F.count("*").alias("n")), "country")
     else:
-        sized = df.crossJoin(F.broadcast(pool.agg(F.count("*").alias("n"))))  # one row
+        sized = df.withColumn("n", F.lit(pool.count()))
     common = F.col("df") > config.max_df
     if config.max_df_mode == "share":
         common &= F.col("df") > config.df_share * F.col("n")

@@ -17,15 +17,21 @@ def rows_by_country_and_source(records: DataFrame) -> DataFrame:
 def truth_sanity(s1: DataFrame, pool: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: S1 records without truth, repeated pairs, pairs with unknown ids, pool records with several owners, pairs by source."""
     owners = truth.groupBy("pool_id").agg(F.countDistinct("s1_id").alias("n"))
-    without = s1.select(F.col("id").alias("s1_id")).join(truth, "s1_id", "left_anti").agg(F.count("*").alias("n_singletons"))
-    dangling = truth.join(pool.select(F.col("id").alias("pool_id")), "pool_id", "left_anti").agg(F.count("*").alias("n_dangling"))
-    repeated = truth.groupBy("s1_id", "pool_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_repeated"))
-    several = owners.agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_multi_owner"))
-    mix = truth.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("pool_id").startswith("S2-")).alias("n_s2"), F.count_if(F.col("pool_id").startswith("S3-")).alias("n_s3"))
-    out = without  # every side has one row
-    for other in (dangling, repeated, several, mix):
-        out = out.crossJoin(F.broadcast(other))
-    return out
+    repeated = truth.groupBy("s1_id", "pool_id").agg(F.count("*").alias("n"))
+    measured = {
+        "n_singletons": s1.select(F.col("id").alias("s1_id")).join(truth, "s1_id", "left_anti").select(F.lit(1).alias("v")),
+        "n_dangling": truth.join(pool.select(F.col("id").alias("pool_id")), "pool_id", "left_anti").select(F.lit(1).alias("v")),
+        "n_repeated": repeated.select((F.col("n") - 1).alias("v")),
+        "n_multi_owner": owners.filter("n > 1").select(F.lit(1).alias("v")),
+        "n_pairs": truth.select(F.lit(1).alias("v")),
+        "n_s2": truth.filter(F.col("pool_id").startswith("S2-")).select(F.lit(1).alias("v")),
+        "n_s3": truth.filter(F.col("pool_id").startswith("S3-")).select(F.lit(1).alias("v")),
+    }
+    rows = [df.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v")).select(F.lit(name).alias("name"), "v") for name, df in measured.items()]
+    all_rows = rows[0]
+    for r in rows[1:]:
+        all_rows = all_rows.unionByName(r)
+    return all_rows.agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in measured])
 
 
 def match_histogram(s1: DataFrame, truth: DataFrame) -> DataFrame:

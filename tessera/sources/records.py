@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,11 @@ def pool_of(*sources: DataFrame) -> DataFrame:
     return first
 
 
+def flatten_pool(cases: DataFrame) -> DataFrame:
+    """Every record of the pools of cases(id, pool: array of records)."""
+    return cases.select(F.explode("pool").alias("r")).select("r.*")
+
+
 HOST = r"://([^/?#]*)"
 PATH = r"://[^/?#]*([^?#]*)"
 
@@ -79,8 +84,6 @@ def proxy_truth(s1: DataFrame, pool: DataFrame) -> DataFrame:
 
 def sample_by_country(records: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
     """A share of each country's records, at least one, in a seeded order."""
-    from pyspark.sql import Window
-
     mark = F.md5(F.concat(F.lit(f"{seed}:"), "id").cast("binary"))
     rank = F.row_number().over(Window.partitionBy("country").orderBy(mark, "id"))
     size = F.count("*").over(Window.partitionBy("country"))

@@ -145,3 +145,13 @@ def test_config_file(tmp_path):
     sinks.write_config(scoring.SWEEP[4], str(tmp_path / "best.json"), macro_f05=0.5)
     written = json.loads((tmp_path / "best.json").read_text())
     assert written["configuration"]["unseen_threshold"] == 0.82 and written["macro_f05"] == 0.5
+
+
+def test_flattened_pools(spark):
+    cases = spark.createDataFrame([("c1", [("S2-1", "a"), ("S3-1", "b")]), ("c2", [])], "id string, pool array<struct<id:string,name:string>>")
+    assert sorted(map(tuple, records.flatten_pool(cases).collect())) == [("S2-1", "a"), ("S3-1", "b")]
+
+
+def test_split_has_exact_sizes(spark):
+    parts = {r["part"]: r["count"] for r in evaluate.split(spark.range(1003).selectExpr("cast(id as string) as id")).groupBy("part").count().collect()}
+    assert parts == {"train": 802, "validation": 201}
