@@ -6,8 +6,8 @@ tightest sequence that takes a piece is the lowest set bit at or above its
 length. When a new sequence is needed and all bins are open, the fullest closes.
 
 Pieces are dealt by hash to packers of about PACKER_TOKENS tokens each; a packer
-is one task, sees its pieces in a fixed order and holds only lengths. Each
-packer closes its last bins as they are, so the space lost to splitting is a few
+is one task, sees its pieces in a fixed order and holds only lengths. It reads
+LOOK_AHEAD pieces ahead and puts the longest of them first. Each packer closes its last bins as they are, so the space lost to splitting is a few
 sequences in PACKER_TOKENS / 4096.
 """
 
@@ -28,7 +28,9 @@ from tessera.llm import common
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 4096
 END_ID = 1
-OPEN_BINS = 256
+OPEN_BINS = 512
+#: Pieces that a packer looks at before it places them, longest first.
+LOOK_AHEAD = 1024
 #: Tokens of one packer: 16,384 sequences.
 PACKER_TOKENS = 1 << 26
 #: Words whose ids a worker remembers.
@@ -204,13 +206,29 @@ class Packer:
         return number
 
 
+def _placed(pdf: pd.DataFrame, packer: Packer, base: int) -> pd.DataFrame:
+    """pdf with places; the longest pieces are put first."""
+    order = np.argsort(-pdf["length"].to_numpy(), kind="stable")
+    pdf = pdf.iloc[order]
+    placed = [packer.put(n) for n in pdf["length"].tolist()]
+    return pdf.assign(sequence_id=np.array([base + s for s, _ in placed], "int64"), offset=np.array([o for _, o in placed], "int64"))
+
+
 def _pack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     packer, base = Packer(), TaskContext.get().partitionId() << 32
+    waiting: list[pd.DataFrame] = []
     for pdf in batches:
-        placed = [packer.put(n) for n in pdf["length"].tolist()]
-        yield pdf.assign(sequence_id=np.array([base + s for s, _ in placed], "int64"), offset=np.array([o for _, o in placed], "int64"))
+        waiting.append(pdf)
+        if sum(map(len, waiting)) >= LOOK_AHEAD:
+            rows = pd.concat(waiting, ignore_index=True)
+            whole = len(rows) // LOOK_AHEAD * LOOK_AHEAD
+            for at in range(0, whole, LOOK_AHEAD):
+                yield _placed(rows.iloc[at : at + LOOK_AHEAD], packer, base)
+            waiting = [rows.iloc[whole:]]
+    if waiting and (rows := pd.concat(waiting, ignore_index=True)).size:
+        yield _placed(rows, packer, base)
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,5 +64,15 @@ def test_best_fit_with_bounded_bins():
     assert sum(held.values()) / (100 * len(held)) > 0.9
 
 
+def test_look_ahead_saves_sequences(spark, monkeypatch):
+    rng = random.Random(3)
+    lengths = [min(4096, int(rng.lognormvariate(6.5, 1.2)) + 1) for _ in range(5000)]
+    frames = p.pd.DataFrame({"doc_id": range(5000), "length": lengths})
+    packer, used = p.Packer(), set()
+    for at in range(0, 5000, p.LOOK_AHEAD):
+        used |= set(p._placed(frames.iloc[at : at + p.LOOK_AHEAD], packer, 0)["sequence_id"])
+    assert len(used) <= -(-sum(lengths) // 4096) * 1.005 + 1
+
+
 def test_empty(spark):
     assert p.pack(frame(spark, [], DOCS)).collect() == []
