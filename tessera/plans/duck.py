@@ -129,7 +129,7 @@ def candidates(k: int = 50) -> str:
     return f"""{INDEX},
 dots AS (SELECT a.id AS s1_id, b.id AS pool_id, sum(a.idf * b.idf) AS dot FROM a JOIN b ON a.key = b.key AND (a.country = b.country OR a.country = '' OR b.country = '') GROUP BY 1, 2),
 cosines AS (SELECT s1_id, pool_id, round(dot / (x.norm * y.norm), 9) AS cos FROM dots JOIN s1_norms x ON x.id = s1_id JOIN pool_norms y ON y.id = pool_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, pool_id) AS block_rank FROM cosines),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, pool_id)::INT AS block_rank FROM cosines),
 cands AS (SELECT *, max(cos) OVER (PARTITION BY s1_id) AS best_cos FROM ranked WHERE block_rank <= {k}),
 pairs AS (SELECT c.*, x.name AS a_name, x.name_toks AS a_name_toks, x.name_text AS a_name_text, x.addr_text AS a_addr_text, x.skel_text AS a_skel_text, x.core_text AS a_core_text, x.numbers AS a_numbers, x.country AS a_country,
   y.name AS b_name, y.name_toks AS b_name_toks, y.name_text AS b_name_text, y.addr_text AS b_addr_text, y.skel_text AS b_skel_text, y.core_text AS b_core_text, y.numbers AS b_numbers FROM cands c JOIN s1 x ON x.id = s1_id JOIN pool y ON y.id = pool_id)"""
@@ -159,14 +159,14 @@ FEATURES = {
     "addr_ratio": r4(f"CASE WHEN {_missing} THEN 0.0::DOUBLE ELSE {ratio(_aa, _ba)} END"),
     "addr_token_set": r4(f"CASE WHEN {_missing} THEN 0.0::DOUBLE ELSE {token_set(_aa, _ba)} END"),
     "addr_partial": r4(f"CASE WHEN {_missing} THEN 0.0::DOUBLE ELSE {partial(_aa, _ba)} END"),
-    "num_shared": _shared,
-    "num_s1": "len(a_numbers)",
-    "num_pool": "len(b_numbers)",
+    "num_shared": f"{_shared}::INT",
+    "num_s1": "len(a_numbers)::INT",
+    "num_pool": "len(b_numbers)::INT",
     "num_pool_share": r4(f"CASE WHEN len(b_numbers) > 0 THEN {_shared}::DOUBLE / len(b_numbers) ELSE 0.0 END"),
     "primary_conflict": f"({_primary.format('<>')})::INT",
     "primary_match": f"({_primary.format('=')})::INT",
-    "name_words_s1": "len(a_name_toks)",
-    "name_words_pool": "len(b_name_toks)",
+    "name_words_s1": "len(a_name_toks)::INT",
+    "name_words_pool": "len(b_name_toks)::INT",
     "pool_addr_empty": f"({_ba} = '')::INT",
     "is_s3": "(starts_with(pool_id, 'S3-'))::INT",
 }
@@ -190,7 +190,7 @@ def reranked(k: int = 50, keep: int = 10) -> str:
     z = f"{sc.RERANK_BIAS}::DOUBLE + ({_sum(sc.RERANK)}) + CASE WHEN num_shared > 0 THEN {sc.RERANK_SHARED}::DOUBLE WHEN {_disjoint} THEN {sc.RERANK_DISJOINT}::DOUBLE ELSE 0.0::DOUBLE END"
     return f"""{features(k=k)},
 rr0 AS MATERIALIZED (SELECT *, 1 / (1 + exp(-({z}))) AS rerank_p FROM feats),
-rr AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(rerank_p, 9) DESC, block_rank) AS rerank_rank FROM rr0 WHERE rerank_p >= 0.005),
+rr AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(rerank_p, 9) DESC, block_rank)::INT AS rerank_rank FROM rr0 WHERE rerank_p >= 0.005),
 top AS (SELECT * FROM rr WHERE rerank_rank <= {keep})"""
 
 

@@ -282,7 +282,7 @@ _scores = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in vocab.WORD_SCORE
 def _word_columns(kind: str, here: str, there: str) -> str:
     words = f"list_filter({here}, lambda t: NOT list_contains({there}, t))"
     scores = f"list_transform({words}, lambda t: coalesce({_scores}[t], 0.5::DOUBLE))"
-    return f"coalesce(list_min({scores}), 1.0) AS {kind}_min, round_even(CASE WHEN len({words}) > 0 THEN list_sum({scores}) / len({words}) ELSE 1.0 END, 4) AS {kind}_mean, len({words}) AS n_{kind}"
+    return f"coalesce(list_min({scores}), 1.0) AS {kind}_min, round_even(CASE WHEN len({words}) > 0 THEN list_sum({scores}) / len({words}) ELSE 1.0 END, 4) AS {kind}_mean, len({words})::INT AS n_{kind}"
 
 
 @query(f"WITH {duck.candidates()} SELECT s1_id, pool_id, {_word_columns('extra', 'b_name_toks', 'a_name_toks')}, {_word_columns('missing', 'a_name_toks', 'b_name_toks')} FROM pairs")
