@@ -16,6 +16,16 @@ Only distinct fingerprints are joined, so a group of exact copies is one node.
 A key with more than HOT_KEY fingerprints is cut into chunks; each pair of
 chunks is one bounded task, which sweeps along the first pivot coordinate and
 returns a spanning forest of its links instead of the links themselves.
+
+All that is op1's rule. keep_one(), the pipeline's stage, asks more: it links
+texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY
+or more. Such pairs differ in up to about NEAR_BITS bits of a SimHash of these
+sets, too many for blocks of 64 bits to be keys, so candidates share one of
+BANDS MinHash bands of BAND_ROWS values; a pair at exactly 0.8 misses all with
+probability (1 - 0.8^6)^24 < 0.001. Sizes and the SimHash distance discard
+candidates, exact Jaccard similarities decide. Buckets become stars and these
+candidate groups, so each text is read once for all of its bands; a group of
+more than CELL texts is cut into chunk pairs as hot keys are.
 """
 
 from __future__ import annotations
@@ -41,6 +51,15 @@ HOT_KEY = 256
 CHUNK = 2048
 SEED = 42
 
+#: keep_one(): words of a shingle, the least similarity, the largest SimHash distance of a pair that is verified.
+NEAR_SHINGLE = 5
+SIMILARITY = (4, 5)
+NEAR_BITS = 24
+BANDS = 24
+BAND_ROWS = 6
+#: Texts of one verifying task, or of each of its two sides.
+CELL = 512
+
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
@@ -196,10 +215,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str |
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), path
 
 
-def _classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for prints(id, fp): the smallest id of each fingerprint's class."""
+def _classes(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) for prints(id, fp): the smallest id of each fingerprint's class, by links() or the edges given."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    edges = links(nodes)
+    edges = links(nodes) if edges is None else edges
     members, _ = components(edges)
     common.discard(prints.sparkSession, edges.tessera_path)
     joined = nodes.join(members.withColumnRenamed("node", "fp"), "fp")
@@ -221,18 +240,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(_classes(prints), "fp").select("id", "fp", "component_id")
 
 
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"times-{i}".encode(), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+_ADDENDS = np.array([xxhash.xxh64_intdigest(f"plus-{i}".encode(), SEED) for i in range(BANDS * BAND_ROWS)], np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's five-word shingles; of all its words when they are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) < NEAR_SHINGLE:
+        hashes = {digest(b" ".join(words), SEED)} if words else set()
+    else:
+        hashes = {digest(b"%b %b %b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:], words[3:], words[4:])}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
+def _set_print(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles."""
+    total = np.zeros(64, np.int64)
+    all_bits = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(all_bits), 1 << 16):
+        total += np.unpackbits(all_bits[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of the set's MinHash signature; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 9):
+        part = hashes[at : at + (1 << 9)]
+        least = np.minimum(least, (_MULTIPLIERS[:, None] * part + _ADDENDS[:, None]).min(1))
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), n)) for n, r in enumerate(rows)]
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text comes first and goes; a key of its shingle set and the bands come last."""
+    for batch in batches:
+        keys, bands = [], []
+        for text in batch.column(0).to_pylist():
+            hashes = shingles(text)
+            keys.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)) if len(hashes) else 0)
+            bands.append(_bands(hashes))
+        names = [*batch.schema.names[1:], "key", "bands"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is SIMILARITY or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
+
+
+def _near_forest(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the verified links among sets that share a band (across the two sides, if given)."""
+    sizes, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    fps = np.array([_set_print(x) for x in sets], np.uint64)
+    refuted = np.zeros((len(sets), len(sets)), bool)
+    found = []
+    for column in np.array([_bands(x) for x in sets], np.int64).T:
+        order = np.argsort(column, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(column[order])) + 1):
+            for at, i in enumerate(run[:-1]):
+                js = run[at + 1 :]
+                if side is not None:
+                    js = js[side[js] != side[i]]
+                js = js[(label[js] != label[i]) & ~refuted[i, js]]
+                js = js[SIMILARITY[1] * np.minimum(sizes[js], sizes[i]) >= SIMILARITY[0] * np.maximum(sizes[js], sizes[i])]
+                for j in js[np.bitwise_count(fps[js] ^ fps[i]) <= NEAR_BITS]:
+                    if label[j] == label[i]:
+                        continue
+                    if similar(sets[i], sets[j]):
+                        label[label == label[j]] = label[i]
+                        found.append((int(i), int(j)))
+                    else:
+                        refuted[i, j] = refuted[j, i] = True
+    return found
+
+
+def _near_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, sets = pdf["key"].to_numpy("int64"), [shingles(t) for t in pdf["text"]]
+    one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    found = _near_forest(sets, None if one else (pdf["chunk"] == pdf["i"]).to_numpy())
+    return pd.DataFrame([(keys[a], keys[b]) for a, b in found], columns=["u", "v"], dtype="int64")
+
+
+def near_links(sketches: DataFrame) -> DataFrame:
+    """(u, v): verified links between set keys of sketches(key, bands, text) that join what all such links join."""
+    spark = sketches.sparkSession
+    keyed, keyed_path = common.materialize(sketches.select("key", F.explode("bands").alias("band")).distinct())
+    shared = keyed.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("last")).filter("u <> last").drop("last")
+    stars, stars_path = common.materialize(keyed.join(shared, "band").select("u", F.col("key").alias("v")).filter("u <> v").distinct())
+    groups, groups_path = components(stars)
+    groups = groups.select(F.col("node").alias("key"), "root")
+
+    # small groups share a cell; every chunk of a large one meets every other chunk once, and itself
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    few = sizes.filter(F.col("n") <= CELL).agg(F.sum("n")).first()[0] or 0
+    texts = sketches.join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    large = F.col("n") > CELL
+    cell = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 4 * few // CELL)).cast("long")))
+    chunks = F.when(large, F.ceil(F.col("n") / CELL).cast("long")).otherwise(F.lit(1).cast("long"))
+    placed = groups.join(sizes, "root").select("key", large.alias("large"), cell.alias("cell"), chunks.alias("chunks"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).drop("chunks")
+    placed = placed.join(texts, "key").select("key", "text", "large", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    found, found_path = common.materialize(placed.groupBy("large", "cell", "i", "j").applyInPandas(_near_cell, "u long, v long").distinct())
+    common.discard(spark, keyed_path, stars_path, *([groups_path] if groups_path else []))
+    found.tessera_path = found_path
+    return found
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near-duplicates: the one whose id names the class.
 
-    Of rows that share that id and the fingerprint, the first by text stays.
-    Nulls are treated as in near_duplicates(); extra columns pass through.
+    Here two texts link when the Jaccard similarity of their sets of five-word
+    shingles is 0.8 or more. Of rows that share that id and the set, the first
+    by text stays. Texts without a word, null ones included, are one class;
+    null ids are treated as in near_duplicates(); extra columns pass through.
     """
-    fp, row = common.fresh(docs, "fp"), common.fresh(docs, "row")
-    printed, _ = common.materialize(with_fingerprint(docs, docs.columns, text_col, fp))
-    classes = _classes(printed.select(F.col(id_col).cast("long").alias("id"), F.col(fp).alias("fp")))
-    classes = classes.select(F.col("fp").alias("class_fp"), F.col("component_id").alias("class_id"))
-    named = (printed[fp] == classes["class_fp"]) & printed[id_col].cast("long").eqNullSafe(classes["class_id"])
-    first = Window.partitionBy(id_col, fp).orderBy(text_col)
+    common.bound_batches(docs.sparkSession)
+    key, bands, row = (common.fresh(docs, x) for x in ("key", "bands", "row"))
+    rows = docs.select(F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(docs.columns))] + ["key long, bands array<long>"])
+    printed, _ = common.materialize(rows.mapInArrow(_sketch_batches, schema).toDF(*docs.columns, key, bands))
+    edges = near_links(printed.select(F.col(key).alias("key"), F.col(bands).alias("bands"), F.col(text_col).cast("string").alias("text")))
+    classes = _classes(printed.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp")), edges)
+    classes = classes.select(F.col("fp").alias("class_key"), F.col("component_id").alias("class_id"))
+    named = (printed[key] == classes["class_key"]) & printed[id_col].cast("long").eqNullSafe(classes["class_id"])
+    first = Window.partitionBy(id_col, key).orderBy(text_col)
     ranked = printed.join(classes, named, "left_semi").withColumn(row, F.row_number().over(first))
     return ranked.filter(F.col(row) == 1).select(*docs.columns)
 
