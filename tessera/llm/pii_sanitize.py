@@ -7,15 +7,24 @@ all but gives the entity away. In information terms, over the corpus,
     PMI(term, entity) = log2 p(entity | term) / p(entity)
     IC(entity)        = -log2 p(entity)
 
-and the term is disclosing when PMI >= DISCLOSURE * IC, seen with the entity in
-at least MIN_CONTEXTS different contexts. Such terms are generalised, like the
-entities themselves, to a marker of their kind; everything else stays.
-
-One pass over the texts finds spans and contexts and leaves a small table. How
-many documents hold a term is counted over all texts in a second pass, which
-passes on only words that some context has (a bitmap of TERM_BITS bits says
-which may be, an equi-join decides). Identical contexts count once, so copies
-of a document are no evidence.
+and the term is disclosing when PMI >= DISCLOSURE * IC. All counts are of
+distinct texts: those with the term, with the entity, with both, and all. So
+copies of a text, however many, are neither evidence for nor against. The text
+at hand can't vouch for itself, and few texts say little, hence p(entity | term)
+is the held-out estimate, smoothed by PRIOR texts of the corpus' own share:
+
+    (both - 1 + PRIOR * p(entity)) / (with term - 1 + PRIOR)
+
+A term met with an entity in one text only gets p(entity) at most, which tells
+nothing. Disclosing terms are generalised, like the entities themselves, to a
+marker of their kind, wherever they stand in a text that holds the entity;
+everything else stays.
+
+One pass over the texts finds spans and, of texts with an entity, the terms and
+their places. How many texts hold a term is counted over all texts in a second
+pass, which passes on only terms that may disclose (a bitmap of BITS bits says
+which may be, an equi-join decides). Texts that may be copies (another bitmap)
+are counted apart, once each.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,11 +44,10 @@ from tessera.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of an entity that are its context.
-REACH = 6
-MIN_CONTEXTS = 3
 DISCLOSURE = 0.9
-TERM_BITS = 1 << 22
+#: Texts that the smoothing adds.
+PRIOR = 1
+BITS = 1 << 22
 SEED = 42
 
 Span = tuple[str, int, int]
@@ -53,6 +61,7 @@ _CARD = re.compile(r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _EDGE = re.compile(r"^\W+|\W+$")
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -108,50 +117,33 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1])))
 
 
-def _contexts(text: str, spans: list[Span]) -> list[dict]:
-    """Each entity with its context: (entity, context, terms with their places)."""
-    if not spans:
-        return []
-    found = []
-    for kind, a, b in spans:
-        left, right = (list(islice(_around(text, at, step), REACH)) for at, step in ((a, -1), (b, 1)))
-        near = [(x, y) for x, y in (*reversed(left), *right) if not any(x < d and c < y for _, c, d in spans)]
-        terms = [(t, x, y) for x, y in near if (t := term(text[x:y])) and any(map(str.isalpha, t))]
-        value = "".join(ch for ch in text[a:b].lower() if ch.isalnum() or ch in "@.")
-        found.append({"entity": _hash(f"{kind}:{value}"), "context": _hash(" ".join(t for t, _, _ in terms)), "terms": [{"term": t, "start": x, "end": y} for t, x, y in terms]})
-    return found
+def _entities(text: str, spans: list[Span]) -> list[int]:
+    """The distinct entities of the spans."""
+    values = ((kind, "".join(ch for ch in text[a:b].lower() if ch.isalnum() or ch in "@.")) for kind, a, b in spans)
+    return sorted({_hash(f"{kind}:{value}") for kind, value in values})
 
 
-_SPACE = frozenset(" \t\n\x0b\x0c\r")
+def _term_hash(word: str) -> int | None:
+    """The hash of a word's term; none where it has no letter."""
+    t = term(word)
+    return _hash(t) if any(map(str.isalpha, t)) else None
 
 
-def _around(text: str, at: int, step: int) -> Iterator[tuple[int, int]]:
-    """Words before (step -1) or after (1) a place, nearest first."""
-    size, i = len(text), at
-    while True:
-        if step > 0:
-            while i < size and text[i] in _SPACE:
-                i += 1
-            if i >= size:
-                return
-            j = i
-            while j < size and text[j] not in _SPACE:
-                j += 1
-            yield i, j
-            i = j
-        else:
-            while i > 0 and text[i - 1] in _SPACE:
-                i -= 1
-            if i <= 0:
-                return
-            j = i
-            while i > 0 and text[i - 1] not in _SPACE:
-                i -= 1
-            yield i, j
+def _words(text: str, spans: list[Span]) -> list[dict]:
+    """Every word outside the spans that is a term, with its place."""
+    taken, found, at = sorted((a, b) for _, a, b in spans), [], 0
+    ends = list(accumulate((b for _, b in taken), max))
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while at < len(taken) and ends[at] <= x:
+            at += 1
+        if not (at < len(taken) and taken[at][0] < y) and (h := _term_hash(m[0])) is not None:
+            found.append({"term": h, "start": x, "end": y})
+    return found
 
 
-_CONTEXTS = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]))
-_FOUND_SCHEMA = "row long, base string, contexts array<struct<entity:long,context:long,terms:array<struct<term:string,start:long,end:long>>>>"
+_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_FOUND_SCHEMA = "row long, base string, print long, entities array<long>, words array<struct<term:long,start:long,end:long>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,40 +151,51 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        base, contexts = [], []
+        base, prints, entities, words = [], [], [], []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text or "")
             base.append(written(spans))
-            contexts.append(_contexts(text or "", spans))
+            prints.append(_hash(text or ""))
+            entities.append(_entities(text or "", spans))
+            words.append(_words(text or "", spans) if spans else [])
         rows = pa.array(range(row, row + batch.num_rows), pa.int64())
         row += batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(base, pa.string()), pa.array(contexts, _CONTEXTS)], [*batch.schema.names[1:], "row", "base", "contexts"])
+        more = [rows, pa.array(base, pa.string()), pa.array(prints, pa.int64()), pa.array(entities, pa.list_(pa.int64())), pa.array(words, _WORDS)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], [*batch.schema.names[1:], "row", "base", "print", "entities", "words"])
+
+
+def _in(bitmap: bytes, h: int) -> bool:
+    place = h % BITS
+    return bool(bitmap[place >> 3] >> (place & 7) & 1)
 
 
-def _count_terms(bitmap: bytes):
+def _count_terms(bitmap: bytes, copied: bytes | None):
+    """How many texts hold a term of the bitmap; those that may be copies are left out, if a bitmap of them is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
+        known: dict[str, int | None] = {}
         counts: Counter = Counter()
 
         def rows(at_least: int) -> Iterator[pa.RecordBatch]:
             if len(counts) >= at_least:
                 names = list(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[t] for t in names], pa.int64())], ["term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([counts[t] for t in names], pa.int64())], ["term", "n"])
                 counts.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
+                if copied and _in(copied, _hash(text or "")):
+                    continue
                 seen = set()
-                for word in set((text or "").split()):
+                for word in set(_WORD.findall(text or "")):
                     if word in known:
                         t = known[word]
                     else:
                         if len(known) > 400_000:
                             known.clear()
-                        t = term(word)
-                        h = _hash(t) % TERM_BITS
-                        t = known[word] = t if bitmap[h >> 3] >> (h & 7) & 1 else None
-                    if t:
+                        t = _term_hash(word)
+                        t = known[word] = t if t is not None and _in(bitmap, t) else None
+                    if t is not None:
                         seen.add(t)
                 counts.update(seen)
             yield from rows(50_000)
@@ -201,35 +204,63 @@ def _count_terms(bitmap: bytes):
     return run
 
 
-def _bitmap(terms: DataFrame) -> bytes:
-    """Which of TERM_BITS hash values the terms have: at most TERM_BITS / 32 longs reach the driver."""
-    place = F.pmod(F.xxhash64("term"), F.lit(TERM_BITS).cast("long"))
-    words = terms.select(F.shiftright(place, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(term), {TERM_BITS}), 32) as int))").alias("b"))
-    bits = bytearray(TERM_BITS // 8)
+def _copied_texts(copied: bytes):
+    """The texts, with their prints, that may be copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [(h, t) for t in batch.column(0).to_pylist() if t and _in(copied, h := _hash(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in some], pa.int64()), pa.array([t for _, t in some], pa.string())], ["print", "t"])
+
+    return run
+
+
+def _bitmap(hashes: DataFrame) -> bytes:
+    """Which of BITS places the longs of the one column take: at most BITS / 32 longs reach the driver."""
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(BITS).cast("long"))
+    words = hashes.select(place.alias("p")).select(F.shiftright("p", 5).alias("w"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("b"))
+    bits = bytearray(BITS // 8)
     for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         bits[4 * w : 4 * w + 4] = b.to_bytes(4, "little")
     return bytes(bits)
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(term, entity) pairs whose term discloses the entity; found has contexts, texts the whole corpus in one column."""
+    """(term, entity) pairs whose term discloses the entity.
+
+    found has print, entities and words of every text; texts is the whole corpus in one column.
+    """
     spark = found.sparkSession
-    near = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", F.explode("c.terms.term").alias("term")).distinct()
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= MIN_CONTEXTS)
-    pairs, _ = common.materialize(pairs)
-    if pairs.isEmpty():
-        return pairs.select("term", "entity")
-    bitmap = _bitmap(pairs.select("term").distinct())
+    prints = found.groupBy("print").agg(F.count("*").alias("n"))
+    total = max(1, prints.count())
+    once = found.filter(F.size("entities") > 0).groupBy("print").agg(F.min("row").alias("row"))
+    once = found.join(once.select("row"), "row", "left_semi")
+    of_entity = once.select("row", F.explode("entities").alias("entity"))
+    # in one text only, an entity is disclosed by no term; likewise a term met with entities in one text only
+    with_entity = of_entity.groupBy("entity").agg(F.count("*").alias("of_entity")).filter("of_entity > 1")
+    with_entity, _ = common.materialize(with_entity)
+    most = with_entity.agg(F.max("of_entity")).first()[0]
+    if most is None:
+        return spark.createDataFrame([], "term long, entity long")
+    places, _ = common.materialize(of_entity.join(with_entity, "entity").select("row", "entity"))
+    held = once.join(places.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct("words.term")).alias("term"))
+    several = held.groupBy("term").agg(F.count("*").alias("k")).filter("k > 1").select("term")
+    several, _ = common.materialize(several)
+    bitmap, copied = _bitmap(several), _bitmap(prints.filter("n > 1").select("print"))
     common.bound_batches(spark)
-    holding = texts.mapInArrow(_count_terms(bitmap), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    of_entity = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.context").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    documents = math.log2(max(2, found.count()))
-    known = pairs.join(holding, "term").join(of_entity, "entity")
-    given = F.log2(F.col("together") / F.greatest(F.col("n"), F.col("together")))
-    information = F.lit(documents) - F.log2("of_entity")
-    # PMI >= DISCLOSURE * IC, with p(entity) = of_entity / documents
-    reveals = given + information >= DISCLOSURE * information
-    return known.filter((information > 0) & reveals).select("term", "entity")
+    singly = texts.mapInArrow(_count_terms(bitmap, copied), "term long, n long")
+    copies = texts.mapInArrow(_copied_texts(copied), "print long, t string").groupBy("print").agg(F.first("t").alias("t")).select("t")
+    holding = singly.unionByName(copies.mapInArrow(_count_terms(bitmap, None), "term long, n long")).groupBy("term").agg(F.sum("n").alias("n"))
+    # both <= of_entity, so no term in more texts than this can reach the bound for any entity
+    rare = holding.filter(F.col("n") <= math.ceil(PRIOR + most * (total / most) ** (1 - DISCLOSURE)))
+    rare, _ = common.materialize(several.join(rare, "term"))
+    pairs = held.join(rare.select("term"), "term").join(places, "row").groupBy("term", "entity").agg(F.count("*").alias("together")).filter("together > 1")
+    share = F.col("of_entity") / F.lit(total)
+    given = (F.col("together") - 1 + PRIOR * share) / (F.col("n") - 1 + PRIOR)
+    information = -F.log2(share)
+    # PMI >= DISCLOSURE * IC
+    reveals = F.log2(given) + information >= DISCLOSURE * information
+    return pairs.join(rare, "term").join(with_entity, "entity").filter((information > 0) & reveals).select("term", "entity")
 
 
 def find(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -242,11 +273,12 @@ def find(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame
     rows = docs.select(text.alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))] + [_FOUND_SCHEMA])
     found, _ = common.materialize(rows.mapInArrow(_find, schema))
-    reveal = disclosing(found.select("contexts"), docs.select(text.alias("t")))
-    placed = found.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", F.explode("c.terms").alias("t")).select("row", "entity", "t.*")
-    spans = placed.join(reveal, ["term", "entity"]).select("row", "start", "end").distinct()
+    reveal, _ = common.materialize(disclosing(found.select("row", "print", "entities", "words"), docs.select(text.alias("t"))))
+    told = found.select("row", F.explode("entities").alias("entity")).join(reveal, "entity").select("row", "term").distinct()
+    placed = found.join(told.select("row").distinct(), "row", "left_semi").select("row", F.explode("words").alias("w")).select("row", "w.*")
+    spans = placed.join(told, ["row", "term"]).select("row", "start", "end")
     terms = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
-    return found.drop("contexts").join(terms, "row", "left")
+    return found.drop("print", "entities", "words").join(terms, "row", "left")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,5 +77,24 @@ def test_sanitised_texts(spark, disclosed):
     assert rows[10]["text"] == dict((r[0], r[1]) for r in disclosed)[10] and rows[999]["text"] is None
 
 
+def told(spark, rows):
+    """{id: the words of its term spans}"""
+    texts = {r[0]: r[1] for r in rows}
+    spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x.startswith("term:")] for r in p.report(frame(spark, rows)).collect()}
+    return {i: [texts[i][int(a) : int(b)] for _, a, b in found] for i, found in spans.items()}
+
+
+def prose(rng, n):
+    return " ".join("w" + str(rng.randint(0, 60)) for _ in range(n))
+
+
+def test_terms_far_away_and_repeated(spark):
+    rng = random.Random(6)
+    rows = [(i, f"Quillfeather, {prose(rng, 90)} x.son@corp.example {prose(rng, 60)} Quillfeather", "en", "s", 1) for i in range(2)]
+    rows += [(10 + i, prose(rng, 120), "en", "s", 1) for i in range(2500)]
+    got = told(spark, rows)
+    assert {i: t for i, t in got.items() if t} == {0: ["Quillfeather,", "Quillfeather"], 1: ["Quillfeather,", "Quillfeather"]}
+
+
 def test_empty(spark):
     assert p.report(frame(spark, [], DOCS)).collect() == [] and p.sanitise(frame(spark, [], DOCS)).collect() == []
