@@ -96,5 +96,15 @@ def test_terms_far_away_and_repeated(spark):
     assert {i: t for i, t in got.items() if t} == {0: ["Quillfeather,", "Quillfeather"], 1: ["Quillfeather,", "Quillfeather"]}
 
 
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_copies_are_no_evidence(spark, copies):
+    rng = random.Random(7)
+    different = [f"{prose(rng, 20)} Quillfeather x.son@corp.example {prose(rng, 20)}" for _ in range(3)]
+    rows = [(i * 1000 + c, t, "en", "s", 1) for i, t in enumerate(different) for c in range(copies)]
+    rows += [(10_000 + i, prose(rng, 60), "en", "s", 1) for i in range(400)]
+    got = told(spark, rows)
+    assert all(t == (["Quillfeather"] if i < 10_000 else []) for i, t in got.items())
+
+
 def test_empty(spark):
     assert p.report(frame(spark, [], DOCS)).collect() == [] and p.sanitise(frame(spark, [], DOCS)).collect() == []
