@@ -68,6 +68,7 @@ _KIND = {tag: k for k, tags in enumerate(TAG_KINDS) for tag in tags}
 _ANCESTOR_KINDS = (5, 7, 8, 9, 10, 11)
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?|<[!?/][^>]*>?""", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.I) for tag in RAW}
 _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -97,7 +98,7 @@ def parse(html: str) -> Page:
     children = [0]
     pieces: list[str] = []
     link: int | None = None  # the node inside which a link is open
-    raw_end, at = 0, 0
+    at = 0
 
     def add_text(s: str) -> None:
         if not s or s.isspace():
@@ -127,9 +128,8 @@ def parse(html: str) -> Page:
         if link is not None and link > stack[-1][1]:
             link = None
 
-    for m in _MARKUP.finditer(html):
-        if m.start() < raw_end:
-            continue
+    # a search from each place on, as what stands in a raw element is no markup
+    while m := _MARKUP.search(html, at):
         add_text(html[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -138,8 +138,8 @@ def parse(html: str) -> Page:
         tag = tag.lower()
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-                at = raw_end = end.start() if end else len(html)
+                end = _RAW_END[tag].search(html, at)
+                at = end.start() if end else len(html)
             continue
         if tag == "a":
             link = None if m[1] else stack[-1][1]

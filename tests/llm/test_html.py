@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -52,3 +55,53 @@ def test_awkward_markup():
 
 def test_empty(spark):
     assert h.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+RAW_PARTS = [
+    "<script>if (a<b) x='1';</script>", "<script>var s='<!-- x';</script>", '<script>"</p><div class=\\"ad\\">" + "<a href=\'";</script>', "<style>p>a{content:'<div>'} /* <!-- */</style>",
+    "<!-- <p>no</p> ' \" <script> -->", "<!---->", "<SCRIPT type='a>b'>1<2 && \"</div>\"</SCRIPT >", "<textarea><p>'</textarea>", "<noscript><img src='x'><p>no</p></noscript>", "<script></script>",
+]
+
+
+def reference_blocks(html):
+    """Words outside raw elements and comments by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style")
+        skipped, words = 0, ()
+
+        def handle_starttag(self, tag, attrs):
+            self.skipped += tag in h.RAW
+
+        def handle_endtag(self, tag):
+            self.skipped -= tag in h.RAW and self.skipped > 0
+
+        def handle_data(self, data):
+            if not self.skipped:
+                self.words = (*self.words, *data.split())
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return " ".join(reader.words)
+
+
+def test_raw_elements_neither_leak_nor_swallow():
+    rng = random.Random(8)
+    pages, _ = h.labelled_pages(40, seed=11)
+    for page in pages:
+        page = page.replace("&amp;", "and").replace("&gt;", "-").replace("&copy;", "c").replace("&middot;", "-")
+        body = page.index("<body>") + 6
+        cuts = [m.start() for m in re.finditer("<", page[body:])]
+        more = page
+        for at in sorted(rng.sample(cuts, min(6, len(cuts))), reverse=True):
+            more = more[: body + at] + rng.choice(RAW_PARTS) + more[body + at :]
+        assert h.parse(more).segments == h.parse(page).segments, more
+        assert "".join(x for _, t in h.parse(more).segments for x in t.split()) == reference_blocks(page).replace(" ", "")
+    assert h.extract(["<p>" + "Hello there, reader. " * 9 + "<script>if (a<b) x='1';</script></p>"], h.trained())[0] == ("Hello there, reader. " * 9).strip()
+
+
+def test_hostile_markup_is_linear():
+    for part in ("<a '", '<p "', "<script", "<!--", "</", "<", "<script><", "<script>a<b", "<textarea>", "&", "<div>", "</p>"):
+        assert isinstance(h.parse(part * 20_000).segments, list)
