@@ -5,10 +5,11 @@ space: bit f is set when some open sequence has exactly f free tokens, so the
 tightest sequence that takes a piece is the lowest set bit at or above its
 length. When a new sequence is needed and all bins are open, the fullest closes.
 
-Pieces are dealt by hash to packers of about PACKER_TOKENS tokens each; a packer
-is one task, sees its pieces in a fixed order and holds only lengths. It reads
-LOOK_AHEAD pieces ahead and puts the longest of them first. Each packer closes its last bins as they are, so the space lost to splitting is a few
-sequences in PACKER_TOKENS / 4096.
+Pieces are dealt by a hash of their row, so that copies spread, to packers of
+about PACKER_TOKENS tokens each. A packer is one task; it places each piece as
+it comes, in a fixed order, and holds only lengths. It closes its last bins as
+they are, so the space lost to splitting is a few sequences in
+PACKER_TOKENS / 4096.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 512
-#: Pieces that a packer looks at before it places them, longest first.
-LOOK_AHEAD = 1024
 #: Tokens of one packer: 16,384 sequences.
 PACKER_TOKENS = 1 << 26
 #: Words whose ids a worker remembers.
@@ -147,27 +146,31 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 def _piece_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         tokenizer, end = word_tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows: list[list[int]] = [[], [], [], [], []]
+            rows: list[list[int]] = [[], [], [], [], [], []]
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(texts)):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, SEQUENCE)):
                     part = ids[4 * start : 4 * (start + SEQUENCE)]
-                    for column, value in zip(rows, (doc_id, piece, start, len(part) // 4, zlib.crc32(part))):
+                    for column, value in zip(rows, (doc_id, piece, start, len(part) // 4, zlib.crc32(part), row)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                row += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each row's ids and one end id, cut only beyond SEQUENCE tokens."""
+    """(doc_id, piece, start, length, ids_crc32, row): each row's ids and one end id, cut only beyond SEQUENCE tokens."""
     common.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_piece_batches(tokenizer_path), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_piece_batches(tokenizer_path), "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 class Packer:
@@ -206,37 +209,22 @@ class Packer:
         return number
 
 
-def _placed(pdf: pd.DataFrame, packer: Packer, base: int) -> pd.DataFrame:
-    """pdf with places; the longest pieces are put first."""
-    order = np.argsort(-pdf["length"].to_numpy(), kind="stable")
-    pdf = pdf.iloc[order]
-    placed = [packer.put(n) for n in pdf["length"].tolist()]
-    return pdf.assign(sequence_id=np.array([base + s for s, _ in placed], "int64"), offset=np.array([o for _, o in placed], "int64"))
-
-
 def _pack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     packer, base = Packer(), TaskContext.get().partitionId() << 32
-    waiting: list[pd.DataFrame] = []
     for pdf in batches:
-        waiting.append(pdf)
-        if sum(map(len, waiting)) >= LOOK_AHEAD:
-            rows = pd.concat(waiting, ignore_index=True)
-            whole = len(rows) // LOOK_AHEAD * LOOK_AHEAD
-            for at in range(0, whole, LOOK_AHEAD):
-                yield _placed(rows.iloc[at : at + LOOK_AHEAD], packer, base)
-            waiting = [rows.iloc[whole:]]
-    if waiting and (rows := pd.concat(waiting, ignore_index=True)).size:
-        yield _placed(rows, packer, base)
+        placed = [packer.put(n) for n in pdf["length"].tolist()]
+        yield pdf.drop(columns="row").assign(sequence_id=np.array([base + s for s, _ in placed], "int64"), offset=np.array([o for _, o in placed], "int64"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each piece of docs with its sequence and its place there.
 
-    A null or empty text is one piece that holds the end id alone. Null ids and
-    repeated rows are packed like any other row; an empty table gives an empty
-    result; other columns are ignored.
+    A null or empty text is one piece that holds the end id alone; a very long
+    text is cut into as many pieces as it takes. Null ids and repeated rows are
+    packed like any other row; pieces of equal length keep the order they come
+    in; an empty table gives an empty result; other columns are ignored.
     """
     if tokenizer_path is None:
         import public_tokenizers
@@ -244,8 +232,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
         tokenizer_path = public_tokenizers.path(TOKENIZER)
     cut, _ = common.materialize(pieces(docs, tokenizer_path, id_col, text_col))
     tokens = cut.agg(F.sum("length")).first()[0] or 0
-    dealt = F.xxhash64("doc_id", "start", "ids_crc32")
+    dealt = F.xxhash64("row", "start")
     packers = cut.repartition(max(1, -(-tokens // PACKER_TOKENS)), dealt)
-    ordered = packers.sortWithinPartitions(dealt, "doc_id", "start", "length", "ids_crc32")
+    ordered = packers.sortWithinPartitions(dealt, "row", "start")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ordered.mapInPandas(_pack_batches, schema)

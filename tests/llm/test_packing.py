@@ -64,15 +64,20 @@ def test_best_fit_with_bounded_bins():
     assert sum(held.values()) / (100 * len(held)) > 0.9
 
 
-def test_look_ahead_saves_sequences(spark, monkeypatch):
+def test_online_placement_is_near_the_ideal():
     rng = random.Random(3)
     lengths = [min(4096, int(rng.lognormvariate(6.5, 1.2)) + 1) for _ in range(5000)]
-    frames = p.pd.DataFrame({"doc_id": range(5000), "length": lengths})
-    packer, used = p.Packer(), set()
-    for at in range(0, 5000, p.LOOK_AHEAD):
-        used |= set(p._placed(frames.iloc[at : at + p.LOOK_AHEAD], packer, 0)["sequence_id"])
-    assert len(used) <= -(-sum(lengths) // 4096) * 1.005 + 1
+    packer = p.Packer()
+    places = [packer.put(n) for n in lengths]
+    again = p.Packer()
+    assert [again.put(n) for n in lengths[:2000]] == places[:2000]  # what comes later changes nothing
+    assert packer._next <= 1.02 * sum(lengths) / 4096 + 8
 
 
+def test_copies_spread_over_packers(spark, monkeypatch):
+    monkeypatch.setattr(p, "PACKER_TOKENS", 4096)
+    got = p.pack(frame(spark, [(1, "one and the same " * 40, "en", "s", 1)] * 400), PATH).collect()
+    assert len(got) == 400 and len({r["sequence_id"] >> 32 for r in got}) > 5
+
 def test_empty(spark):
     assert p.pack(frame(spark, [], DOCS)).collect() == []
