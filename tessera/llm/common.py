@@ -15,12 +15,21 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = 512
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: the session's, else that of its context.
+
+    A temporary one only in local mode, where one machine is all there is.
+    """
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if of_context.isDefined():
+        return of_context.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_own_dir[0]}"
@@ -41,6 +50,7 @@ def materialize(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -50,6 +60,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
+        if p in _made:
+            _made.remove(p)
+
+
+def made() -> set[str]:
+    """The tables of materialize() that still stand."""
+    return set(_made)
+
+
+def release(spark: SparkSession, before: set[str], keep: str | None = None) -> None:
+    """Deletes the tables made since before = made(), but for keep: for when what read them has been written."""
+    discard(spark, *(p for p in list(_made) if p not in before and p != keep))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,8 +12,9 @@ def top_k() -> str:
     k, every, scale = topk_search.TOP, topk_search.QUERY_EVERY, topk_search.SCALE
     return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
+asked AS MATERIALIZED (SELECT *, row_number() OVER () AS q FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % {every} = 0)),
+s AS (SELECT q.q, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM asked q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id))::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
 
 

@@ -40,6 +40,24 @@ def test_against_brute_force(spark, monkeypatch, chunk, block):
     assert sorted(map(tuple, t.top_k(df).collect())) == slow(rows)
 
 
+def test_norms_that_differ_skip_cells(spark, monkeypatch):
+    monkeypatch.setattr(t, "CHUNK", 40)
+    monkeypatch.setattr(t, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(t, "LEVELS", 6)
+    rows = [(i, [x * 1.02 ** (i % 200) for x in v], y) for i, v, y in vectors(600) if v and None not in v and i is not None]
+    assert sorted(map(tuple, t.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())) == slow(rows)
+
+
+def test_repeated_rows(spark):
+    """A repeated query asks once; one id with two vectors asks twice; repeated candidates count each."""
+    rows = [(50, [1.0, 2.0], 0), (50, [1.0, 2.0], 1), (1, [3.0, 1.0], 0), (1, [3.0, 1.0], 0), (2, [1.0, 1.0], 0), (3, [0.5, 0.0], 0), (4, [0.1, 0.1], 0), (5, [-1.0, 0.0], 0)]
+    once = [r for r in rows if r != rows[1]]
+    run = lambda x: sorted(map(tuple, t.top_k(spark.createDataFrame(x, SCHEMA)).collect()))
+    assert run(rows) == run(once) == slow(once) and [r[2] for r in run(rows)] == [1, 1, 2, 3, 4]
+    two = [*once, (50, [-1.0, 0.0], 0)]
+    assert run(two) == slow(two) and len(run(two)) == 10
+
+
 def test_few_rows_large_values_and_empty(spark):
     rows = [(0, [1e12, 2.0], 0), (50, [-1e12, 3.0], 0)]
     got = t.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), k=1).filter("query_id = 0")
