@@ -1,19 +1,27 @@
 """Scores texts with a log-bilinear language model and a smoothed unigram base.
 
-Every training word is counted. The TOP commonest are classes of their own; all
-other words share RARE classes by their first two bytes; the end of a text is a
-class, and the context of a text's first word. The model predicts a class from
-the one before it: the context's vector, through a bilinear map, meets a vector
-and a bias for each class. It is trained in numpy by noise-contrastive
-estimation, full batch: the counts of class pairs over all training texts weigh
-the data term, and the noise term is its exact expectation under the unigram
-noise. One matrix product over all classes then gives normalised log-probabilities,
-and a token's is a look-up. Within a rare class a word has its add-one share.
-
-Distribution. Words that are common enough (at most COMMON of them) reach the
-workers as a dictionary; a text's other words, a small share of its tokens, meet
-their counts in an equi-join. A text is split once; afterwards a table of class
-numbers and rare words stands for it.
+Every training word is counted. The VOCABULARY commonest words have vectors of
+their own; all other words share RARE entries by their first two bytes, and the
+end of a text is an entry, which also stands before a text's first word. The
+entries fall into classes: runs of the vocabulary in byte order, so that words
+of one stem share a class, the rare entries, and the end.
+
+The model predicts an entry from the CONTEXT entries before it. Each place has a
+matrix; the sum of the matrices times the entries' vectors meets an output
+vector and a bias for each entry, and likewise for each class. Both are trained
+in numpy by noise-contrastive estimation: minibatches of tokens against noise
+words and noise classes sampled from their unigram distributions.
+P(class | context), normalised over classes, times P(entry | class, context),
+normalised over the class, is the model's probability; both are batched matrix
+products. Within a rare entry a word has its add-one share.
+
+Distribution. All training tokens train the model. Texts are dealt to trainers
+of about TRAINER_TOKENS tokens; the first one breaks the symmetry, then every
+trainer starts from its parameters, and the mean of what they end with, weighted
+by tokens, is the model (parallel SGD with one averaging). Words that are common
+enough (at most COMMON of them) reach the workers as a dictionary; a text's other
+words, a small share of its tokens, meet their counts in an equi-join. A text is
+split once; afterwards a table of entries and rare words stands for it.
 """
 
 from __future__ import annotations
@@ -31,15 +39,20 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 FOLDS, HELD_OUT = 7, 2
-TOP, RARE = 400, 111
-CLASSES = TOP + RARE + 1
-END = CLASSES - 1
+VOCABULARY, RARE = 8192, 111
+WORD_CLASSES = 94
+CONTEXT = 3
 #: Words whose counts reach every worker, at most.
 COMMON = 150_000
-DIMENSIONS = 32
-NOISE = 10.0
-STEPS = 250
-RATE = 0.02
+DIMENSIONS = 16
+#: Sampled words and classes that each token of a minibatch is told from.
+NOISE, CLASS_NOISE = 64, 32
+BATCH = 4096
+TRAINER_TOKENS = 1 << 22
+#: Passes, least steps and step size of the first trainer, then of all trainers.
+OPENING, CLOSING = (1, 200, 0.1), (1, 1, 0.03)
+#: Tokens that are scored at once.
+SLICE = 1 << 15
 SEED = 42
 
 
@@ -68,50 +81,199 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def rare_class(word: bytes) -> int:
-    return TOP + zlib.crc32(word[:2]) % RARE
-
-
-def train(pairs: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before it) for every pair, from counts pairs[before, class]."""
-    rng = np.random.default_rng(SEED)
-    size = len(pairs)
-    total = max(pairs.sum(), 1.0)
-    data = pairs / total
-    seen = data.sum(1, keepdims=True)
-    noise = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * size)
-    params = [rng.normal(0, 0.1, (size, DIMENSIONS)), np.eye(DIMENSIONS), rng.normal(0, 0.1, (size, DIMENSIONS)), np.log(noise)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    shift, share = np.log(NOISE * noise), NOISE * noise
-    for step in range(1, STEPS + 1):
-        context, through, target, bias = params
-        hidden = context @ through
-        true = 1 / (1 + np.exp(-np.clip(hidden @ target.T + bias - shift, -40, 40)))
-        g = seen * share * true - data * (1 - true)
-        grads = [g @ target @ through.T, context.T @ (g @ target), g.T @ hidden, g.sum(0)]
-        for i, grad in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * grad
-            second[i] = 0.99 * second[i] + 0.01 * grad * grad
-            params[i] = params[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-10)
-    context, through, target, bias = params
-    z = context @ through @ target.T + bias
-    z -= z.max(1, keepdims=True)
-    return (z - np.log(np.exp(z).sum(1, keepdims=True))) / math.log(10)
+def rare_entry(word: bytes) -> int:
+    """The number of a rare word's entry among the rare ones."""
+    return zlib.crc32(word[:2]) % RARE
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _row_sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """For each of size places, the sum of the rows at it."""
+    return np.stack([np.bincount(at, column, size) for column in rows.T], axis=1).astype(np.float32)
+
+
+class Model:
+    """Parameters over entries: words 0 to n_words - 1 in byte order, RARE rare ones, and the end."""
+
+    NAMES = ("vectors", "places", "targets", "bias", "class_targets", "class_bias")
+
+    def __init__(self, counts: np.ndarray):
+        """counts: how often each entry occurs in the training texts."""
+        self.size = len(counts)
+        self.end = self.size - 1
+        n_words = self.size - RARE - 1
+        groups = min(WORD_CLASSES, n_words)
+        self.starts = np.array([*(i * n_words // groups for i in range(groups)), n_words, self.end])
+        self.ends = np.append(self.starts[1:], self.size)
+        self.classes = len(self.starts)
+        self.class_of = np.repeat(np.arange(self.classes), self.ends - self.starts)
+        self.share = (counts + 0.5) / (counts + 0.5).sum()
+        self.class_share = np.bincount(self.class_of, self.share, self.classes)
+        rng = np.random.default_rng(SEED)
+        self.params = {
+            "vectors": rng.normal(0, 0.1, (self.size, DIMENSIONS)),
+            "places": np.stack([np.eye(DIMENSIONS) / 2**i for i in range(CONTEXT)]),
+            "targets": np.zeros((self.size, DIMENSIONS)),
+            "bias": np.log(self.share),
+            "class_targets": np.zeros((self.classes, DIMENSIONS)),
+            "class_bias": np.log(self.class_share),
+        }
+        self.params = {name: p.astype(np.float32) for name, p in self.params.items()}
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.params[n].ravel() for n in self.NAMES])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for n in self.NAMES:
+            p = self.params[n]
+            self.params[n] = flat[at : at + p.size].reshape(p.shape).astype(np.float32)
+            at += p.size
+
+    def lay_out(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All entries, with CONTEXT ends before each text, and the places of the texts' own."""
+        before = np.full(CONTEXT, self.end, np.int16)
+        if not texts:
+            return before, np.zeros(0, np.int32)
+        entries = np.concatenate([x for t in texts for x in (before, t)])
+        own = np.ones(len(entries), bool)
+        first = np.cumsum([0, *(len(t) + CONTEXT for t in texts[:-1])])
+        own[(first[:, None] + np.arange(CONTEXT)).ravel()] = False
+        return entries, np.flatnonzero(own).astype(np.int32)
+
+    def hidden(self, entries: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The entries before each place of at, their vectors, and what the matrices make of them."""
+        context = [entries[at - i - 1].astype(np.int64) for i in range(CONTEXT)]
+        vectors = [self.params["vectors"][c] for c in context]
+        return context, vectors, sum(v @ m for v, m in zip(vectors, self.params["places"]))
+
+    def train(self, texts: list[np.ndarray], passes: int, steps: int, rate: float, seed: int) -> None:
+        """Noise-contrastive estimation over minibatches of the texts' tokens, with AdaGrad steps: so many of both at least."""
+        entries, at = self.lay_out(texts)
+        rng, params = np.random.default_rng(seed), self.params
+        squares = {n: np.full_like(p, 1e-6) for n, p in params.items()}
+        # output vectors, biases, size, noise distribution, noise words for each token
+        heads = [("targets", "bias", self.size, self.share, NOISE), ("class_targets", "class_bias", self.classes, self.class_share, CLASS_NOISE)]
+        heads = [(v, b, n, np.cumsum(share), np.log(k * share).astype(np.float32), k) for v, b, n, share, k in heads]
+        for _ in range(max(passes, -(-steps // max(1, -(-len(at) // BATCH))))):
+            rng.shuffle(at)
+            for start in range(0, len(at), BATCH):
+                places = at[start : start + BATCH]
+                now = entries[places].astype(np.int64)
+                context, vectors, hidden = self.hidden(entries, places)
+                grads, back = {}, np.zeros_like(hidden)
+                for (vec, bias, size, up_to, shift, k), true in zip(heads, (now, self.class_of[now])):
+                    noise = np.minimum(np.searchsorted(up_to, rng.random(k)), size - 1)
+                    of_true, of_noise = params[vec][true], params[vec][noise]
+                    miss = _sigmoid((hidden * of_true).sum(1) + params[bias][true] - shift[true]) - 1
+                    fooled = _sigmoid(hidden @ of_noise.T + (params[bias][noise] - shift[noise]))
+                    grads[vec], grads[bias] = _row_sums(true, hidden * miss[:, None], size), np.bincount(true, miss, size)
+                    np.add.at(grads[vec], noise, fooled.T @ hidden)
+                    np.add.at(grads[bias], noise, fooled.sum(0))
+                    back += miss[:, None] * of_true + fooled @ of_noise
+                grads["places"] = np.stack([v.T @ back for v in vectors])
+                grads["vectors"] = _row_sums(np.concatenate(context), np.concatenate([back @ m.T for m in params["places"]]), self.size)
+                for n, g in grads.items():
+                    g = (g / len(places)).astype(np.float32)
+                    squares[n] += g * g
+                    params[n] -= rate * g / np.sqrt(squares[n])
+
+    def log_probabilities(self, entries: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 P(entry | the entries before it) at each place of at."""
+        out = np.empty(len(at))
+        targets, bias = self.params["targets"], self.params["bias"]
+        for start in range(0, len(at), SLICE):
+            places = at[start : start + SLICE]
+            now = entries[places].astype(np.int64)
+            _, _, hidden = self.hidden(entries, places)
+            of_class = self.class_of[now]
+            z = hidden @ self.params["class_targets"].T + self.params["class_bias"]
+            found = _chosen(z, of_class)
+            order = np.argsort(of_class.astype(np.int16), kind="stable")
+            cuts = np.searchsorted(of_class[order], np.arange(self.classes + 1))
+            for c, (first, last) in enumerate(zip(self.starts, self.ends)):
+                rows = order[cuts[c] : cuts[c + 1]]
+                if len(rows) and last - first > 1:
+                    z = hidden[rows] @ targets[first:last].T + bias[first:last]
+                    found[rows] += _chosen(z, now[rows] - first)
+            out[start : start + SLICE] = found
+        return out / math.log(10)
+
+
+def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row of z at the place given."""
+    most = z.max(1)
+    return z[np.arange(len(z)), at].astype(float) - most - np.log(np.exp(z - most[:, None]).sum(1))
+
+
+#: Parameters travel in rows of so many numbers.
+WIDTH = 32
+
+
+def _train_batches(model, passes: int, steps: int, rate: float):
+    """One trainer: the model (a broadcast) trained on the task's texts, as rows of parameters times tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from copy import deepcopy
+
+        own, tokens, waiting, held = deepcopy(model.value), 0, [], 0
+
+        def learn() -> None:
+            nonlocal held
+            own.train(waiting, passes, steps, rate, SEED + tokens)
+            waiting.clear()
+            held = 0
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                text = np.frombuffer(raw, "<i2")
+                waiting.append(text)
+                held, tokens = held + len(text), tokens + len(text)
+            if held > 2 * TRAINER_TOKENS:
+                learn()
+        if waiting:
+            learn()
+        if tokens:
+            flat = own.flat().astype(float) * tokens
+            rows = np.append(flat, np.zeros(-len(flat) % WIDTH)).reshape(-1, WIDTH)
+            columns = [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), tokens), pa.int64()), *(pa.array(c) for c in rows.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "n", *(f"x{k}" for k in range(WIDTH))])
+
+    return run
+
+
+def fit(encoded: DataFrame, counts: np.ndarray, tokens: int) -> Model:
+    """The model after both rounds, over encoded(row, classes) of all training texts."""
+    spark, model = encoded.sparkSession, Model(counts)
+    trainers = max(1, -(-tokens // TRAINER_TOKENS))
+    schema = ", ".join(["i int", "n long", *(f"x{k} double" for k in range(WIDTH))])
+    one = encoded.filter(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(trainers)) == 0).repartition(1)
+    every = encoded.repartition(trainers, F.xxhash64("row"))
+    for texts, how in ((one, OPENING), (every, CLOSING)):
+        known = spark.sparkContext.broadcast(model)
+        trained = texts.sortWithinPartitions("row").select("classes").mapInArrow(_train_batches(known, *how), schema)
+        rows = trained.groupBy("i").agg(*[(F.sum(f"x{k}") / F.sum("n")).alias(f"x{k}") for k in range(WIDTH)]).orderBy("i").collect()  # one model
+        if rows:
+            model.load(np.array([r[1:] for r in rows], float).ravel())
+    return model
 
 
 def _encode(known):
-    """A text's class numbers, what its common words add up to, and its rare words. known: a broadcast of words and counts."""
+    """A text's entries, what its common words add up to, and its rare words. known: a broadcast of words and counts, the vocabulary first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        words, counts = known.value
+        words, counts, top = known.value
         index = {w: i for i, w in enumerate(words)}
-        # beyond TOP, a common word adds its own log10(c + 1); the last entry stands for a rare word
+        # beyond the vocabulary, a common word adds its own log10(c + 1); the last place stands for a rare word
         logs = np.append(np.log10(np.array(counts, float) + 1), 0.0)
-        logs[:TOP] = 0
-        classes = np.array([i if i < TOP else rare_class(w) for i, w in enumerate(words)] + [-1], np.int16)
+        logs[:top] = 0
+        classes = np.array([i if i < top else top + rare_entry(w) for i, w in enumerate(words)] + [-1], np.int16)
         by_start: dict[bytes, int] = {}
         lists = pa.list_(pa.binary())
         for batch in batches:
@@ -125,10 +287,10 @@ def _encode(known):
                 for i, w in zip(unknown, strange):
                     start = w[:2]
                     if start not in by_start:
-                        by_start[start] = rare_class(w)
+                        by_start[start] = top + rare_entry(w)
                     own[i] = by_start[start]
                 sizes.append(len(tokens) + 1)
-                numbers.append(np.append(own, np.int16(END)).astype("<i2").tobytes())
+                numbers.append(np.append(own, np.int16(top + RARE)).astype("<i2").tobytes())
                 common_logs.append(float(logs[at].sum()))
                 common_n.append(len(tokens) - len(unknown))
                 held = Counter(strange)
@@ -147,27 +309,17 @@ def _encode(known):
 _ENCODED = "doc_id long, row long, n_tokens long, classes binary, common_logs double, common_n long, rare array<binary>, times array<int>"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES * CLASSES, np.int64)
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            now = np.frombuffer(raw, "<i2").astype(np.int64)
-            before = np.append(END, now[:-1])
-            at, times = np.unique(before * CLASSES + now, return_counts=True)
-            total[at] += times
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
-
-
-def _look_up(log_p: np.ndarray, own_logs: np.ndarray, rare_shares: np.ndarray):
-    """Sums over a text's classes: model log-probabilities, log10(c + 1) of top classes, shares of rare classes."""
+def _score_batches(model, own_logs: np.ndarray, rare_shares: np.ndarray):
+    """Sums over a text's entries: model log-probabilities, log10(c + 1) of words with an entry, shares of rare entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
         for batch in batches:
-            sums = np.zeros((3, batch.num_rows))
-            for i, raw in enumerate(batch.column(0).to_pylist()):
-                now = np.frombuffer(raw, "<i2").astype(np.int64)
-                sums[:, i] = log_p[np.append(END, now[:-1]), now].sum(), own_logs[now].sum(), rare_shares[now].sum()
+            texts = [np.frombuffer(raw, "<i2") for raw in batch.column(0).to_pylist()]
+            entries, at = own.lay_out(texts)
+            log_p, now = own.log_probabilities(entries, at), entries[at]
+            firsts = np.cumsum([0, *(len(t) for t in texts[:-1])])
+            sums = [np.add.reduceat(x, firsts) if len(texts) else x for x in (log_p, own_logs[now], rare_shares[now])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(s) for s in sums)], [*batch.schema.names[1:], "model", "own_logs", "shares"])
 
     return run
@@ -178,8 +330,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A null or empty text is one end token. Null ids are never held out; repeated
     rows stay and count as often as they occur; very long texts are scored
-    whole; with no training text every base score is 0 and the model is uniform
-    over classes; an empty table gives an empty result; other columns are ignored.
+    whole; words of equal count enter the vocabulary in byte order; with no
+    training text every base score is 0 and the model is uniform over entries'
+    classes; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -200,28 +353,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         held, floor = held + r["n"], r["step"]
     common_rows = [] if floor is None else counts.filter(step >= floor).collect()
     common_rows = sorted(((bytes(r["word"]), r["n"]) for r in common_rows), key=lambda r: (-r[1], r[0]))
-    known = spark.sparkContext.broadcast(([w for w, _ in common_rows], [c for _, c in common_rows]))
+    top = min(VOCABULARY, len(common_rows))
+    common_rows = sorted(common_rows[:top]) + common_rows[top:]
+    known = spark.sparkContext.broadcast(([w for w, _ in common_rows], [c for _, c in common_rows], top))
     encoded, _ = common.materialize(rows.mapInArrow(_encode(known), _ENCODED).withColumn("held_out", held_out(F.col("doc_id"))))
 
-    pairs = np.zeros(CLASSES * CLASSES)
-    for r in encoded.filter("not held_out").select("classes").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # CLASSES ** 2 rows at most
-        pairs[r["pair"]] = r["n"]
-    log_p = train(pairs.reshape(CLASSES, CLASSES))
-
-    # rare classes: words and distinct words that are not among the TOP
+    # rare entries: words and distinct words that are not in the vocabulary
     start = F.crc32(F.substring("word", 1, 2)) % RARE
-    own = F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in common_rows[:TOP]], "word binary"))
-    shares = np.zeros(CLASSES)
-    shares[TOP:END] = math.log10(1)
-    for r in counts.join(own, "word", "left_anti").groupBy(start.alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        shares[TOP + r["class"]] = math.log10(r["n"] + r["v"] + 1)
-    own_logs = np.zeros(CLASSES)
-    for i, (_, c) in enumerate(common_rows[:TOP]):
-        own_logs[i] = math.log10(c + 1)
-    own_logs[END] = math.log10(n_texts + 1)
-
+    own = F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in common_rows[:top]], "word binary"))
+    entry_counts, own_logs, shares = np.zeros(top + RARE + 1), np.zeros(top + RARE + 1), np.zeros(top + RARE + 1)
+    for r in counts.join(own, "word", "left_anti").groupBy(start.alias("entry")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        entry_counts[top + r["entry"]] = r["n"]
+        shares[top + r["entry"]] = math.log10(r["n"] + r["v"] + 1)
+    entry_counts[:top] = [c for _, c in common_rows[:top]]
+    entry_counts[-1] = n_texts
+    own_logs[:top] = np.log10(entry_counts[:top] + 1)
+    own_logs[-1] = math.log10(n_texts + 1)
+
+    model = spark.sparkContext.broadcast(fit(encoded.filter("not held_out").select("row", "classes"), entry_counts, n))
     looked = encoded.select("classes", "row", "doc_id", "held_out", "n_tokens", "common_logs", "common_n").mapInArrow(
-        _look_up(log_p, own_logs, shares), "row long, doc_id long, held_out boolean, n_tokens long, common_logs double, common_n long, model double, own_logs double, shares double"
+        _score_batches(model, own_logs, shares), "row long, doc_id long, held_out boolean, n_tokens long, common_logs double, common_n long, model double, own_logs double, shares double"
     )
     strange = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     met = strange.join(counts if floor is None else counts.filter(step < floor), "word", "left")

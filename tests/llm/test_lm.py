@@ -37,10 +37,51 @@ def test_base_against_brute_force(spark, monkeypatch, common):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
-def test_rows_of_the_model_are_normalised():
+def model_of(texts, n_words):
+    counts = np.bincount(np.concatenate(texts), minlength=n_words + m.RARE + 1).astype(float)
+    return m.Model(counts)
+
+
+def test_probabilities_are_normalised():
     rng = np.random.default_rng(0)
-    log_p = m.train(rng.poisson(0.5, (m.CLASSES, m.CLASSES)).astype(float))
-    assert np.allclose((10.0**log_p).sum(1), 1)
+    n_words = 300
+    texts = [np.append(rng.integers(0, n_words + m.RARE, 50), n_words + m.RARE).astype(np.int16) for _ in range(60)]
+    model = model_of(texts, n_words)
+    model.train(texts, 2, 1, 0.2, 1)
+    for context in ([1, 2, 3], [model.end] * 3, [5, model.end, model.end]):
+        each = np.array([x for w in range(model.size) for x in (*reversed(context), w)], np.int16)
+        log_p = model.log_probabilities(each, np.arange(model.size) * 4 + 3)
+        assert abs((10.0**log_p).sum() - 1) < 1e-4
+
+
+def test_longer_context_than_one_word():
+    """The next word is told by the words two and three back only; the one before is noise."""
+    rng = np.random.default_rng(3)
+
+    def text():
+        a, b = rng.integers(0, 4, 2)
+        words = []
+        for _ in range(40):
+            words += [a, 10 + rng.integers(0, 6), 4 + b, 10 + rng.integers(0, 6), 20 + 4 * a + b]
+        return np.array([*words, 40 + m.RARE], np.int16)
+
+    texts = [text() for _ in range(1500)]
+    model = model_of(texts, 40)
+    model.train(texts[:1300], 6, 1, 0.1, 1)
+    entries, at = model.lay_out(texts[1300:])
+    told = at[(entries[at] >= 20) & (entries[at] < 36)]
+    unigram = np.log10(model.share[entries[told]]).mean()
+    log_p = model.log_probabilities(entries, told)
+    assert log_p.mean() > unigram + 0.9  # 16 words in 40: one word of context can't tell them apart
+
+
+def test_averaged_trainers(spark, monkeypatch):
+    monkeypatch.setattr(m, "TRAINER_TOKENS", 3000)
+    monkeypatch.setattr(m, "BATCH", 64)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice([f"{'ab'[i % 2]}{k}" for k in range(30)]) for _ in range(40)), "en", "s", 1) for i in range(400)]
+    got = m.score(frame(spark, rows)).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert got[1] > got[0] * 0.9
 
 
 def test_context_helps_on_held_out_texts(spark):
