@@ -150,7 +150,7 @@ class Model:
         vectors = [self.params["vectors"][c] for c in context]
         return context, vectors, sum(v @ m for v, m in zip(vectors, self.params["places"]))
 
-    def train(self, texts: list[np.ndarray], passes: int, steps: int, rate: float, seed: int) -> None:
+    def train(self, texts: list[np.ndarray], passes: int, steps: int, rate: float, seed: int | list[int]) -> None:
         """Noise-contrastive estimation over minibatches of the texts' tokens, with AdaGrad steps: so many of both at least."""
         entries, at = self.lay_out(texts)
         rng, params = np.random.default_rng(seed), self.params
@@ -213,7 +213,7 @@ def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 WIDTH = 32
 
 
-def _train_batches(model, passes: int, steps: int, rate: float):
+def _train_batches(model, turn: int, passes: int, steps: int, rate: float):
     """One trainer: the model (a broadcast) trained on the task's texts, as rows of parameters times tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _train_batches(model, passes: int, steps: int, rate: float):
 
         def learn() -> None:
             nonlocal held
-            own.train(waiting, passes, steps, rate, SEED + tokens)
+            own.train(waiting, passes, steps, rate, [SEED, turn, tokens])  # noise that repeats would be learnt
             waiting.clear()
             held = 0
 
@@ -252,9 +252,9 @@ def fit(encoded: DataFrame, counts: np.ndarray, tokens: int) -> Model:
     schema = ", ".join(["i int", "n long", *(f"x{k} double" for k in range(WIDTH))])
     one = encoded.filter(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(trainers)) == 0).repartition(1)
     every = encoded.repartition(trainers, F.xxhash64("row"))
-    for texts, how in ((one, OPENING), (every, CLOSING)):
+    for turn, (texts, how) in enumerate(((one, OPENING), (every, CLOSING))):
         known = spark.sparkContext.broadcast(model)
-        trained = texts.sortWithinPartitions("row").select("classes").mapInArrow(_train_batches(known, *how), schema)
+        trained = texts.sortWithinPartitions("row").select("classes").mapInArrow(_train_batches(known, turn, *how), schema)
         rows = trained.groupBy("i").agg(*[(F.sum(f"x{k}") / F.sum("n")).alias(f"x{k}") for k in range(WIDTH)]).orderBy("i").collect()  # one model
         if rows:
             model.load(np.array([r[1:] for r in rows], float).ravel())
