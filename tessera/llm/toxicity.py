@@ -1,19 +1,26 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-1. From a bounded sample of labelled rows, word and word-stem patterns that
-   toxic rows hold more often are mined; with the stated lexicons, shape patterns
-   and the recorded label itself they are the voters, which vote toxic, vote
-   clean or abstain.
-2. A generative model estimates by expectation-maximisation how often each
-   voter casts each vote on either class. Voters that still agree given the class
-   are correlated; their residual correlations, estimated in every round, shrink
-   the weight of each so that a clique of them counts about once.
+1. The voters are stated lexicons, shape patterns, and word and word-stem
+   patterns that labelled rows propose: those that toxic rows of a bounded sample
+   hold more often. A voter votes toxic or abstains. The recorded label is not a
+   voter.
+2. A generative model learns from the votes alone, by expectation-maximisation.
+   Either class is a mixture of kinds of rows (languages, manners), in which
+   voters fire together or exclude each other. Votes that still go together given
+   the kind are correlated: their residual correlations, estimated anew in every
+   round, join voters to cliques. A clique has one distribution of its number of
+   votes for each kind, so what its voters share counts once; cliques are
+   independent given the kind. The voters' accuracies are their rates of votes on
+   either class. Labels only calibrate:
+   they are where the iteration starts, and their share of toxic rows is the mean
+   of the posteriors; a row's own label has no say in its posterior.
 3. A logistic regression on the density of the mined patterns is trained on the
    posterior labels. Its weights, a dictionary of at most MINED patterns, score
    every text in one pass without a shuffle.
 
-The sample is bounded by FIT_TOXIC and FIT_CLEAN rows; scoring covers all rows
-and uses nothing but the text.
+The sample is bounded by FIT_TOXIC and FIT_CLEAN rows; of each, the driver gets
+the numbers of the patterns it matches and how often, 12 bytes a pattern, and at
+most MINED patterns. Scoring covers all rows and uses nothing but the text.
 """
 
 from __future__ import annotations
@@ -36,12 +43,21 @@ THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7)
 MINED = 3000
 MIN_SUPPORT = 3
-PATTERN_VOTERS = 60
+PATTERN_VOTERS = 120
+#: How many times likelier in toxic rows a pattern must be to become a voter.
+VOTER_LIFT = 10.0
+#: Voters whose votes are correlated at least so much, given the kind of row, are of one clique.
+CORRELATED = 0.5
+#: Kinds of toxic and of clean rows, such as languages or manners, in which a voter fires more or less often.
+TOXIC_KINDS, CLEAN_KINDS = 12, 1
+#: Rows that each kind borrows from the whole.
+SMOOTHING = 2.0
+#: A clique's votes are told apart up to so many.
+MOST_VOTES = 3
 #: Words for which about one hit is expected in a toxic text.
 SPREAD = 60.0
 MOST_HITS = 3.0
 ROUNDS = 30
-LABEL_TRUST = 0.97
 CACHED_WORDS = 300_000
 
 # fixed values: words that insult, by language
@@ -123,34 +139,79 @@ def _describe(wanted: dict[str, int]):
     return run
 
 
-def label_model(votes: np.ndarray, prior: float, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior P(toxic) of each row, and each voter's final weight.
+def _cliques(shared: np.ndarray) -> np.ndarray:
+    """The smallest voter that each voter is joined with by correlations of CORRELATED or more."""
+    of = np.arange(len(shared))
+    joined = shared >= CORRELATED
+    while True:
+        least = np.minimum(of, np.where(joined, of[None, :], len(of)).min(1, initial=len(of)))
+        if (least == of).all():
+            return of
+        of = least
 
-    votes: rows x voters of 1 (toxic), -1 (clean), 0 (abstains); trusted: the
-    recorded label as log-odds, 0 where there is none.
+
+def _kinds(votes: np.ndarray, most: int) -> np.ndarray:
+    """Rows x kinds of 0 and 1: rows grouped by their votes, by k-means from far-apart rows."""
+    centres = votes.mean(0, keepdims=True)
+    for _ in range(most - 1):
+        far = ((votes[:, None] - centres[None]) ** 2).sum(2).min(1)
+        if not len(far) or far.max() < 1e-9:
+            break
+        centres = np.concatenate([centres, votes[[far.argmax()]]])
+    for _ in range(10):
+        of = ((votes[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        member = (of[:, None] == np.arange(len(centres))).astype(float)
+        centres = (member.T @ votes + 1e-3 * centres) / (member.sum(0)[:, None] + 1e-3)
+    return member
+
+
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior P(toxic) of each row, the voters' rates of votes (on toxic, on clean rows), and their cliques.
+
+    votes: rows x voters of 1 (toxic) and 0 (abstains); prior: the share of toxic rows, which the posteriors keep to;
+    start: the rows' recorded classes, where the iteration begins.
     """
-    said = np.stack([votes == 1, votes == -1]).astype(np.float64)  # kind x rows x voters
+    votes = votes.astype(np.float64)
     rows = len(votes)
-    weight = np.ones(votes.shape[1])
-    post = 1 / (1 + np.exp(-(trusted + math.log(prior / (1 - prior)))))
+
+    def calibrated(odds: np.ndarray) -> np.ndarray:
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(odds + middle, -50, 50)))).mean() < prior else (low, middle)
+        return 1 / (1 + np.exp(-np.clip(odds + low, -50, 50)))
+
+    # kinds of toxic rows, then kinds of clean rows
+    kinds = [_kinds(votes[start == y], most) for y, most in ((1, TOXIC_KINDS), (0, CLEAN_KINDS))]
+    n_toxic = kinds[0].shape[1]
+    share = np.zeros((rows, n_toxic + kinds[1].shape[1]))
+    share[np.ix_(start == 1, range(n_toxic))] = kinds[0]
+    share[np.ix_(start == 0, range(n_toxic, share.shape[1]))] = kinds[1]
+    post, of = start.astype(np.float64), np.arange(votes.shape[1])
     for _ in range(ROUNDS):
-        n1, n0 = post.sum() + 2, rows - post.sum() + 2
-        on_toxic = ((said * post[None, :, None]).sum(1) + 0.1) / n1
-        on_clean = ((said * (1 - post)[None, :, None]).sum(1) + 0.1) / n0
-        # what voters still share given the class: residual correlations
-        expected = post[:, None] * on_toxic[0] + (1 - post)[:, None] * on_clean[0]
-        left = said[0] - expected
+        size = share.sum(0) + 1e-9
+        # what voters still share given the kind
+        left = votes - share @ (share.T @ votes / size[:, None])
         scale = np.sqrt((left**2).sum(0)) + 1e-9
-        shared = np.clip(left.T @ left / np.outer(scale, scale), 0, None)
-        np.fill_diagonal(shared, 0)
-        weight = 1 / (1 + shared.sum(1))
-        gain = (said * (np.log(on_toxic) - np.log(on_clean))[:, None, :] * weight).sum((0, 2))
-        z = np.clip(math.log(prior / (1 - prior)) + trusted + gain, -30, 30)
-        new = 1 / (1 + np.exp(-z))
-        if np.abs(new - post).max(initial=0) < 1e-6:
-            break
+        of = _cliques(left.T @ left / np.outer(scale, scale))
+        log_p = np.tile(np.log(size / rows), (rows, 1))
+        for clique in np.unique(of):
+            n = np.minimum(votes[:, of == clique].sum(1), MOST_VOTES).astype(int)
+            told = np.stack([np.bincount(n, w, MOST_VOTES + 1) for w in share.T])
+            overall = told.sum(0) / rows
+            p = (told + SMOOTHING * (overall + 1e-6)) / (size[:, None] + SMOOTHING)
+            log_p += np.log(p)[:, n].T
+        top = log_p.max(1, keepdims=True)
+        of_kind = np.exp(log_p - top) + 1e-300
+        toxic, clean = of_kind[:, :n_toxic], of_kind[:, n_toxic:]
+        new = calibrated(np.log(toxic.sum(1)) - np.log(clean.sum(1)))
+        share = np.concatenate([new[:, None] * toxic / toxic.sum(1, keepdims=True), (1 - new)[:, None] * clean / clean.sum(1, keepdims=True)], axis=1)
+        moved = np.abs(new - post).max(initial=0)
         post = new
-    return post, weight
+        if moved < 1e-6:
+            break
+    of_class = np.stack([post, 1 - post])
+    return post, of_class @ votes / (of_class.sum(1, keepdims=True) + 1e-9), of
 
 
 def _logistic(row: np.ndarray, at: np.ndarray, x: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -203,19 +264,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = np.array([density(n, r["words"]) for r in rows for n in r["n"]], np.float64)
     gold = np.array([r["label"] for r in rows])
 
-    voters = [wanted[r["pattern"]] for r in top[:PATTERN_VOTERS]]
-    votes = np.zeros((len(rows), len(voters) + len(LEXICONS) + 3), np.int8)
+    lifted = [r["pattern"] for r in top if (r["t"] + 0.05) / (n1 + 1) > VOTER_LIFT * (r["c"] + 0.05) / (n0 + 1)]
+    voters = [wanted[p] for p in lifted[:PATTERN_VOTERS]]
+    votes = np.zeros((len(rows), len(voters) + len(LEXICONS) + 2), np.int8)
     hit = np.zeros((len(rows), len(names)), bool)
     hit[row, at] = x >= 0.1
     votes[:, : len(voters)] = hit[:, voters]
     for k, lang in enumerate(LEXICONS):
         votes[:, len(voters) + k] = hit[:, [wanted[p] for p, own in stated.items() if own == lang]].any(1)
-    votes[:, -3:-1] = np.array([r["shapes"] for r in rows]).reshape(-1, 2)
-    votes[:, -1] = np.where(votes[:, :-1].any(1), 0, -1)  # no pattern at all: clean
-    trusted = math.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * gold - 1)
-    share = counts.get(1, 0) / sum(counts.values())
-    prior = min(max(share, 0.01), 0.99)
-    post, _ = label_model(votes, prior, trusted)
+    votes[:, -2:] = np.array([r["shapes"] for r in rows]).reshape(-1, 2)
+    prior = min(max(counts.get(1, 0) / sum(counts.values()), 0.01), 0.99)
+    post, _, _ = label_model(votes, gold.mean() if 0 < gold.mean() < 1 else prior, gold)
     # the sample holds more toxic rows than the corpus: weigh rows back
     balance = np.where(gold == 1, prior / max(n1, 1), (1 - prior) / max(n0, 1)) * len(rows)
     bias, w = _logistic(row, at, x, post, balance, len(names))

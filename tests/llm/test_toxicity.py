@@ -45,15 +45,38 @@ def test_labels_of_held_out_rows_are_never_used(spark):
 
 
 def test_correlated_voters_count_once():
+    """Six voters that copy a poor one do not outvote three independent ones; a quarter of the labels is wrong."""
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    voter = lambda: np.where(rng.random(4000) < np.where(y, 0.7, 0.03), 1, 0)
+    y = rng.random(6000) < 0.2
+    voter = lambda hit, false: np.where(rng.random(6000) < np.where(y, hit, false), 1, 0)
+    poor = voter(0.3, 0.12)
+    copies = [np.where(rng.random(6000) < 0.03, 1 - poor, poor) for _ in range(6)]
+    votes = np.stack([*copies, *(voter(0.75, 0.02) for _ in range(3))], axis=1)
+    post, rates, of = t.label_model(votes, 0.2, np.where(rng.random(6000) < 0.25, ~y, y))
+    assert np.abs(rates[0, 6:] - 0.75).max() < 0.08 and np.abs(rates[1, 6:] - 0.02).max() < 0.03
+    assert ((post > 0.5) == y).mean() > 0.95 and abs(post.mean() - 0.2) < 0.01
+
+
+def test_repeated_voters_are_one_clique():
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    voter = lambda: np.where(rng.random(4000) < np.where(y, 0.6, 0.05), 1, 0)
     same = voter()
-    votes = np.stack([same, same, same, voter(), voter()], axis=1)
-    recorded = np.where(rng.random(4000) < 0.05, ~y, y)  # one label in twenty is wrong
-    post, weight = t.label_model(votes, 0.2, np.where(recorded, 3.5, -3.5))
-    assert weight[:3].max() < 0.4 and weight[3:].min() > 0.6
-    assert ((post > 0.5) == y).mean() > (recorded == y).mean() - 0.01
+    one = t.label_model(np.stack([same, voter(), voter()], axis=1), 0.3, y)[0]
+    rng = np.random.default_rng(1)
+    y, same = rng.random(4000) < 0.3, voter()
+    post, _, of = t.label_model(np.stack([same, same, same, voter(), voter()], axis=1), 0.3, y)
+    assert ((post > 0.5) == (one > 0.5)).mean() > 0.97
+
+
+def test_label_model_does_not_follow_the_label(spark):
+    """One label in eight is wrong, of the toxic one in four: the posteriors follow the votes, so the classifier finds the truth."""
+    docs, labels = corpus(900)
+    truth = {i: y for i, _, y in labels}
+    wrong = [(i, q, (1 - y) if i % 24 in (0, 3, 9) else y) for i, q, y in labels]
+    assert sum(a != b for a, b in zip(labels, wrong)) > 100
+    got = t.classify(frame(spark, docs), spark.createDataFrame(wrong, LABELS)).collect()
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got) > 0.97
 
 
 def test_without_labels_and_empty(spark):
