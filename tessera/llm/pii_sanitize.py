@@ -17,14 +17,14 @@ is the held-out estimate, smoothed by PRIOR texts of the corpus' own share:
 
 A term met with an entity in one text only gets p(entity) at most, which tells
 nothing. Disclosing terms are generalised, like the entities themselves, to a
-marker of their kind, wherever they stand in a text that holds the entity;
-everything else stays.
-
-One pass over the texts finds spans and, of texts with an entity, the terms and
-their places. How many texts hold a term is counted over all texts in a second
-pass, which passes on only terms that may disclose (a bitmap of BITS bits says
-which may be, an equi-join decides). Texts that may be copies (another bitmap)
-are counted apart, once each.
+marker of their kind, wherever they stand, in any text; everything else stays.
+
+One pass over the texts finds spans and, of texts with an entity, the terms. How
+many texts hold a term is counted over all texts in a second pass, which passes
+on only terms that may disclose (a bitmap of BITS bits says which may be, an
+equi-join decides). Texts that may be copies (another bitmap) are counted apart,
+once each. The last pass finds spans again and the places of disclosing terms,
+by bitmap and equi-join likewise.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ DISCLOSURE = 0.9
 PRIOR = 1
 BITS = 1 << 22
 SEED = 42
+SALTS = 16
 
 Span = tuple[str, int, int]
 
@@ -89,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the four kinds, kind by kind, then by start."""
     spans: list[Span] = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             spans.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -129,39 +130,82 @@ def _term_hash(word: str) -> int | None:
     return _hash(t) if any(map(str.isalpha, t)) else None
 
 
-def _words(text: str, spans: list[Span]) -> list[dict]:
-    """Every word outside the spans that is a term, with its place."""
-    taken, found, at = sorted((a, b) for _, a, b in spans), [], 0
+def _words(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """Every word outside the spans, with its place."""
+    taken, at = sorted((a, b) for _, a, b in spans), 0
     ends = list(accumulate((b for _, b in taken), max))
     for m in _WORD.finditer(text):
         x, y = m.span()
         while at < len(taken) and ends[at] <= x:
             at += 1
-        if not (at < len(taken) and taken[at][0] < y) and (h := _term_hash(m[0])) is not None:
-            found.append({"term": h, "start": x, "end": y})
-    return found
+        if not (at < len(taken) and taken[at][0] < y):
+            yield m[0], x, y
 
 
-_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_FOUND_SCHEMA = "row long, base string, print long, entities array<long>, words array<struct<term:long,start:long,end:long>>"
+_FOUND_SCHEMA = "row long, print long, entities array<long>, terms array<long>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text a print, its entities and, if it has one, its distinct terms outside the spans."""
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        base, prints, entities, words = [], [], [], []
-        for text in batch.column(0).to_pylist():
-            spans = base_spans(text or "")
-            base.append(written(spans))
-            prints.append(_hash(text or ""))
-            entities.append(_entities(text or "", spans))
-            words.append(_words(text or "", spans) if spans else [])
+        prints, entities, terms = [], [], []
+        for text in (t or "" for t in batch.column(0).to_pylist()):
+            spans = base_spans(text)
+            prints.append(_hash(text))
+            entities.append(_entities(text, spans))
+            own = {w for w, _, _ in _words(text, spans)} if spans else ()
+            terms.append(sorted({h for h in map(_term_hash, own) if h is not None}))
         rows = pa.array(range(row, row + batch.num_rows), pa.int64())
         row += batch.num_rows
-        more = [rows, pa.array(base, pa.string()), pa.array(prints, pa.int64()), pa.array(entities, pa.list_(pa.int64())), pa.array(words, _WORDS)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], [*batch.schema.names[1:], "row", "base", "print", "entities", "words"])
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([rows, pa.array(prints, pa.int64()), pa.array(entities, lists), pa.array(terms, lists)], ["row", "print", "entities", "terms"])
+
+
+_PLACES = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_MARKED_SCHEMA = "row long, base string, places array<struct<term:long,start:long,end:long>>"
+
+
+def _mark(bitmap: bytes | None):
+    """Base spans of each text, and the places of words outside them whose terms are in the bitmap (None: of none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, known = TaskContext.get().partitionId() << 40, {}
+        for batch in batches:
+            base, places = [], []
+            for text in (t or "" for t in batch.column(0).to_pylist()):
+                spans = base_spans(text)
+                base.append(written(spans))
+                found = []
+                if bitmap and any(_known_term(w, bitmap, known) is not None for w in set(_WORD.findall(text))):
+                    for w, x, y in _words(text, spans):
+                        if (h := _known_term(w, bitmap, known)) is not None:
+                            found.append({"term": h, "start": x, "end": y})
+                places.append(found)
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(base, pa.string()), pa.array(places, _PLACES)], [*batch.schema.names[1:], "row", "base", "places"])
+
+    return run
+
+
+#: Words whose terms a worker remembers.
+CACHED_WORDS = 400_000
+
+
+def _known_term(word: str, bitmap: bytes, known: dict[str, int | None]) -> int | None:
+    """The hash of a word's term, if it is in the bitmap."""
+    if word in known:
+        return known[word]
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    t = _term_hash(word)
+    t = known[word] = t if t is not None and _in(bitmap, t) else None
+    return t
 
 
 def _in(bitmap: bytes, h: int) -> bool:
@@ -186,18 +230,7 @@ def _count_terms(bitmap: bytes, copied: bytes | None):
             for text in batch.column(0).to_pylist():
                 if copied and _in(copied, _hash(text or "")):
                     continue
-                seen = set()
-                for word in set(_WORD.findall(text or "")):
-                    if word in known:
-                        t = known[word]
-                    else:
-                        if len(known) > 400_000:
-                            known.clear()
-                        t = _term_hash(word)
-                        t = known[word] = t if t is not None and _in(bitmap, t) else None
-                    if t is not None:
-                        seen.add(t)
-                counts.update(seen)
+                counts.update({t for w in set(_WORD.findall(text or "")) if (t := _known_term(w, bitmap, known)) is not None})
             yield from rows(50_000)
         yield from rows(1)
 
@@ -228,7 +261,7 @@ def _bitmap(hashes: DataFrame) -> bytes:
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, entity) pairs whose term discloses the entity.
 
-    found has print, entities and words of every text; texts is the whole corpus in one column.
+    found has row, print, entities and terms of every text; texts is the whole corpus in one column.
     """
     spark = found.sparkSession
     prints = found.groupBy("print").agg(F.count("*").alias("n"))
@@ -243,7 +276,7 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     if most is None:
         return spark.createDataFrame([], "term long, entity long")
     places, _ = common.materialize(of_entity.join(with_entity, "entity").select("row", "entity"))
-    held = once.join(places.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct("words.term")).alias("term"))
+    held = once.join(places.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term"))
     several = held.groupBy("term").agg(F.count("*").alias("k")).filter("k > 1").select("term")
     several, _ = common.materialize(several)
     bitmap, copied = _bitmap(several), _bitmap(prints.filter("n > 1").select("print"))
@@ -264,21 +297,29 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns carry of docs, a row number, base spans as text and the array of all method spans.
+    """The columns carry of docs as c0, c1 ..., base spans as text and the array of all method spans.
 
-    A null text is an empty one. The result is a table in the shared folder.
+    A null text is an empty one. The result reads a table in the shared folder.
     """
     common.bound_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
+    spark, before = docs.sparkSession, common.made()
+    found, _ = common.materialize(docs.select(text.alias("t")).mapInArrow(_find, _FOUND_SCHEMA))
+    reveal, reveal_path = common.materialize(disclosing(found, docs.select(text.alias("t"))).select("term").distinct())
+    bitmap = None if reveal.isEmpty() else _bitmap(reveal)
+    common.release(spark, before, reveal_path)
     rows = docs.select(text.alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))] + [_FOUND_SCHEMA])
-    found, _ = common.materialize(rows.mapInArrow(_find, schema))
-    reveal, _ = common.materialize(disclosing(found.select("row", "print", "entities", "words"), docs.select(text.alias("t"))))
-    told = found.select("row", F.explode("entities").alias("entity")).join(reveal, "entity").select("row", "term").distinct()
-    placed = found.join(told.select("row").distinct(), "row", "left_semi").select("row", F.explode("words").alias("w")).select("row", "w.*")
-    spans = placed.join(told, ["row", "term"]).select("row", "start", "end")
+    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))] + [_MARKED_SCHEMA])
+    marked, _ = common.materialize(rows.mapInArrow(_mark(bitmap), schema))
+    if bitmap is None:
+        common.discard(spark, reveal_path)
+        return marked.drop("row", "places").withColumn("terms", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    # a term may stand in any number of texts: the few places that the bitmap lets through meet the terms, salted by row
+    placed = marked.select("row", F.explode("places").alias("w")).select("row", "w.*").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    salted = reveal.withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
+    spans = placed.join(salted, ["term", "salt"]).select("row", "start", "end")
     terms = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
-    return found.drop("print", "entities", "words").join(terms, "row", "left")
+    return marked.drop("places").join(terms, "row", "left").drop("row")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +362,14 @@ def _redact(text_at: int, chars_at: int | None):
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with every span of the text replaced by a marker of its kind; chars_col, if there, counts the new text."""
+    """docs with every span of the text replaced by a marker of its kind; chars_col, if it is a long, counts the new text.
+
+    Of spans that overlap, the one that starts first is replaced, and what the
+    others hold beyond it goes with it. A null text stays null with a null
+    count; empty texts stay; very long texts are rewritten whole; null ids and
+    repeated rows keep their rows; an empty table gives an empty result; other
+    columns, whatever their names, pass through.
+    """
     carry = docs.columns
     found = find(docs, carry, text_col)
     rows = found.select(*[f"c{i}" for i in range(len(carry))], "base", "terms")

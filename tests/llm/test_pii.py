@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -106,5 +107,63 @@ def test_copies_are_no_evidence(spark, copies):
     assert all(t == (["Quillfeather"] if i < 10_000 else []) for i, t in got.items())
 
 
+def brute_terms(rows):
+    """{id: term spans} by the definition, over distinct texts in plain sets."""
+    texts = {t or "" for _, t, *_ in rows}
+    words = lambda t: [(m[0], m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", t)]
+    term = lambda w: re.sub(r"^\W+|\W+$", "", w.lower())
+    base = {t: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in slow_spans(t).split(",") if s)] for t in texts}
+    outside = {t: [(term(w), a, b) for w, a, b in words(t) if all(b <= x or a >= y for _, x, y in base[t]) and any(c.isalpha() for c in term(w))] for t in texts}
+    entities = {t: {k + ":" + "".join(c for c in t[a:b].lower() if c.isalnum() or c in "@.") for k, a, b in base[t]} for t in texts}
+    n = {}
+    for t in texts:
+        for w in {term(w) for w, _, _ in words(t)}:
+            n[w] = n.get(w, 0) + 1
+    told = set()
+    for e in set().union(*entities.values()):
+        holding = [t for t in texts if e in entities[t]]
+        share = len(holding) / len(texts)
+        for w in {w for t in holding for w, _, _ in outside[t]}:
+            both = sum(w in {x for x, _, _ in outside[t]} for t in holding)
+            given = (both - 1 + p.PRIOR * share) / (n[w] - 1 + p.PRIOR)
+            if both > 1 and share < 1 and math.log2(given / share) >= p.DISCLOSURE * -math.log2(share):
+                told.add(w)
+    return {i: [(a, b) for w, a, b in outside[t or ""] if w in told] for i, t, *_ in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_term_spans_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    people = [(f"Name{k}er", f"n{k}@corp.example", f"+1 555 010 00{k:02}") for k in range(12)]
+    rows = []
+    for i in range(1500):
+        text = prose(rng, rng.randint(5, 40)).split()
+        if rng.random() < 0.06:
+            name, mail, phone = rng.choice(people)
+            for extra in rng.sample([name, name + ",", mail, phone, "10.1.2.3", f"town{rng.randint(0, 3)}"], 4):
+                text.insert(rng.randint(0, len(text)), extra)
+        elif rng.random() < 0.01:
+            text.insert(0, rng.choice(people)[0])
+        rows.append((i, " ".join(text), "en", "s", 1))
+    rows += [(2000 + i, rng.choice(rows)[1], "en", "s", 1) for i in range(200)] + [(3000, None, None, None, None), (3001, "", "en", "s", 0), (None, "no id", "en", "s", 1)]
+    expected = brute_terms(rows)
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("term:")] for r in p.report(frame(spark, rows)).collect()}
+    assert got == expected and sum(map(len, expected.values())) > 20
+
+
+def test_terms_are_sanitised_away_from_their_entity(spark, disclosed):
+    more = [*disclosed, (700, "Xavierson lives here", "en", "s", 1), (700, "Xavierson lives here", "en", "s", 1)]
+    rows = [r for r in p.sanitise(frame(spark, more).withColumn("row", F.lit("kept"))).collect() if r["doc_id"] == 700]
+    assert [(r["text"], r["n_chars"], r["row"]) for r in rows] == [("[TERM] lives here", 17, "kept")] * 2
+
+
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.2.3", "1.2.3." + "0" * 5000 + "7", "9" * 5000 + ".1.1.1", "4" + " 1" * 5000, "+1" + " (5)" * 5000 + "5", "a@" + "1" * 5000 + ".com", "@" * 5000])
+def test_long_digit_runs(text):
+    if not text.startswith("9" * 5000):
+        assert [s for s in p.written(p.base_spans(text)).split(",") if s and s.startswith("ip")] == (["ip:0:5006"] if text[0] == "0" else ["ip:0:5007"] if text.startswith("1.2") else [])
+    else:
+        assert p.base_spans(text) == []
+
+
 def test_empty(spark):
     assert p.report(frame(spark, [], DOCS)).collect() == [] and p.sanitise(frame(spark, [], DOCS)).collect() == []
