@@ -19,32 +19,33 @@ from tessera.llm import common
 # fixed values: rules by host and path; the longest that fits decides
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# fixed values: the labelled table (words of hosts, and whole paths, by what the page is for)
-BLOCKED_HOSTS = (
-    "casino", "casino-win", "bigwin-casino", "online-casino", "poker-chips", "slots-jackpot", "free-bets", "sport-bets", "betting-odds",
-    "adult", "adult-x", "adult-video", "xxx-tube", "porn-free", "sex-chat", "nude-cams", "escort-girls", "spam-farm", "link-farm",
-    "seo-spam", "cheap-pills", "pills-online", "viagra-shop", "pharma-cheap", "weight-pills", "ads-track", "track-ads", "ad-click",
-    "click-track", "popup-ads", "banner-ads", "malware-kit", "phish-login", "free-money", "win-prize", "lottery-win", "crack-keys",
-    "warez-free", "torrent-xxx", "payday-loans", "cheap-loans", "replica-watch", "free-iphone", "hot-dates", "crypto-pump",
-)
-ALLOWED_HOSTS = (
-    "news", "science", "history", "library", "museum", "university", "school", "garden", "recipes", "weather", "travel", "music", "theatre",
-    "football", "health", "doctor", "hospital", "city", "council", "market", "books", "review", "journal", "research", "physics",
-    "biology", "language", "wiki", "forum", "docs", "code", "software", "hardware", "photo", "art", "nature", "animals", "river",
-    "mountain", "station", "train", "action", "nation", "then", "thering", "thation", "theread", "enthen", "tionth", "thenter",
-)
-BLOCKED_PATHS = ("/bet/now", "/casino/bonus", "/xxx/video.html", "/pills/buy?id=4", "/track/click?ad=7", "/win/free-spins", "/adult/cams", "/spam/links.html")
-ALLOWED_PATHS = ("/en/27", "/de/article/31.html", "/fr/485/", "/es/news/2020#top", "/en/about?page=2&ref=x", "/wiki/History", "/posts/12?utm_source=feed", "/")
-# fixed values: the commonest English letter pairs, in order; ordinary hosts are made of them by rule
-PAIRS = (
-    "th", "he", "in", "er", "an", "re", "nd", "at", "on", "nt", "ha", "es", "st", "en", "ed", "to", "it", "ou", "ea", "hi",
-    "is", "or", "ti", "as", "te", "et", "ng", "of", "al", "de", "se", "le", "sa", "si", "ar", "ve", "ra", "ld", "ur", "wh",
-)
-ORDINARY_HOSTS = 400
-LANGUAGES = ("en", "de", "fr", "es", "it", "pt")
-PATH_ENDS = ("", "/", ".html")
+# fixed values: the labelled table's words, by what hosts with them are for, and whole paths
+BLOCKED_WORDS = (
+    "casino poker roulette jackpot slots blackjack lottery gambling betting bookie wager bingo",
+    "porn xxx sex nude erotic escort adult fetish webcams hentai milf strip",
+    "viagra cialis pharmacy pill tablets steroids slimming drugstore painkiller rxmeds",
+    "advert adserver adclick banners popup tracker tracking clicks affiliate doubleclick pixel",
+    "spam spammer linkfarm backlinks seorank autoblog scraper clickbait",
+    "malware phishing keygen cracked warez torrents spyware trojan hacks",
+    "payday quickcash getrich forex pyramid replica counterfeit freebies prizes winners giveaway",
+)
+BLOCKED_EXTRAS = ("", "online", "best", "24", "free", "cheap", "hot", "now", "club", "zone", "king", "deals")
+ALLOWED_WORDS = (
+    "news science history library museum university school garden recipes weather travel music theatre football health doctor hospital city "
+    "council market books review journal research physics biology language forum docs code software photo art nature animals river mountain "
+    "station train nation kitchen cinema letters teacher farmer harvest winter summer morning village castle harbour bridge island forest "
+    "weather letter number father mother brother sister winner thunder together northern southern eastern western other rather whether "
+    "reader writer thing nothing something evening reading writing meeting hearing earth north south month health truth growth theory "
+    "there where here then than them these those other land hand sand band wand standing rest best forest interest street "
+    "action motion station relation edition tradition attention table cable stable capable simple people little really early only family "
+    "house mouse blouse about round sound around through though tough white while wheel shell shore short shadow share ship fish dish"
+).split()
+BLOCKED_PATHS = ("/casino/bonus", "/xxx/video.html", "/buy/tablets?id=4", "/click?ad=7", "/win/free-spins", "/cams/live", "/links.html", "/get/crack.zip")
+ALLOWED_PATHS = ("/", "/articles/31.html", "/en/about", "/posts/2020/05", "/wiki/History", "/fr/485/", "/de/kontakt.html", "/es/27", "/catalogue/item-12", "/contact/")
 PREFIXES = ("", "www.", "m.", "blog.")
-SUFFIXES = (".example.com", ".example.org")
+SUFFIXES = (".com", ".example.com", ".org", ".example.org", ".net", ".example.net", ".info")
+#: Ordinary hosts, each of one to three words.
+ORDINARY_HOSTS = 900
 
 BUCKETS = 4096
 GRAMS = (3, 4, 5)
@@ -58,16 +59,18 @@ DIGITS = 6
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if it is to be blocked) of the training table."""
+    """(host, path, 1 if it is to be blocked) of the training table: words joined by rule."""
     rows = []
-    for hosts, own, other, label in ((BLOCKED_HOSTS, BLOCKED_PATHS, ALLOWED_PATHS, 1), (ALLOWED_HOSTS, ALLOWED_PATHS, ALLOWED_PATHS, 0)):
-        for i, h in enumerate(hosts):
-            host = PREFIXES[i % len(PREFIXES)] + h + SUFFIXES[i % len(SUFFIXES)]
-            rows += [(host, other[i % len(other)], label), (host, own[i % len(own)], label)]
+    place = lambda i, name: PREFIXES[i % len(PREFIXES)] + name + SUFFIXES[i % len(SUFFIXES)]
+    for i, word in enumerate(w for words in BLOCKED_WORDS for w in words.split()):
+        for k in range(6):
+            extra, glue = BLOCKED_EXTRAS[(5 * i + 4 * k) % len(BLOCKED_EXTRAS)], "-" if (i + k) % 3 else ""
+            name = glue.join(filter(None, (word, extra) if (i + k) % 2 else (extra, word)))
+            path = BLOCKED_PATHS[(i + k) % len(BLOCKED_PATHS)] if k % 3 == 0 else ALLOWED_PATHS[(i + k) % len(ALLOWED_PATHS)]
+            rows.append((place(i + k, name), path, 1))
     for i in range(ORDINARY_HOSTS):
-        name = "".join(PAIRS[(i * step + i // len(PAIRS)) % len(PAIRS)] for step in (1, 7, 11, 13)[: 2 + i % 3])
-        path = f"/{LANGUAGES[i % len(LANGUAGES)]}/{i * i % 49999}{PATH_ENDS[i % len(PATH_ENDS)]}"
-        rows.append((PREFIXES[i % len(PREFIXES)] + name + SUFFIXES[i % len(SUFFIXES)], path, 0))
+        words = [ALLOWED_WORDS[(i * step + i // len(ALLOWED_WORDS)) % len(ALLOWED_WORDS)] for step in (1, 7, 11)[: 1 + i % 3]]
+        rows.append((place(i, ("-" if i % 2 else "").join(words)), ALLOWED_PATHS[i % len(ALLOWED_PATHS)], 0))
     return rows
 
 
