@@ -89,3 +89,18 @@ def fresh(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+#: Keys that hold more than this share of the rows are joined apart; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined with named on key, where named has one row per key and, as n, how many of the total rows hold it.
+
+    The named rows of hot keys are broadcast, so no key's rows gather in one task. n goes.
+    """
+    many = F.col(n) > max(1.0, HOT_SHARE * total)
+    hot = F.broadcast(named.filter(many).drop(n))  # 1 / HOT_SHARE rows at most
+    cold = rows.join(F.broadcast(named.filter(many).select(key)), key, "left_anti").join(named.filter(~many).drop(n), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -13,9 +13,12 @@ most three in every coordinate; pairs above are discarded, survivors are
 verified on the bits themselves.
 
 Only distinct fingerprints are joined, so a group of exact copies is one node.
-A key with more than HOT_KEY fingerprints is cut into chunks; each pair of
-chunks is one bounded task, which sweeps along the first pivot coordinate and
-returns a spanning forest of its links instead of the links themselves.
+A key with more than HOT_KEY fingerprints is one bounded task, which sweeps along
+the first pivot coordinate and returns a spanning forest of its links instead of
+the links themselves. Beyond CHUNK fingerprints, the pivot table cuts the key
+into cells: coordinates of the first GRID pivots in steps of MAX_BITS + 1. Linked
+fingerprints stand in the same or in adjoining cells, so pairs of other cells are
+never formed; a cell above CHUNK is cut by hash, and each pair of parts is a task.
 
 All that is op1's rule. keep_one(), the pipeline's stage, asks more: it links
 texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY
@@ -31,13 +34,13 @@ more than CELL texts is cut into chunk pairs as hot keys are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -46,6 +49,8 @@ MAX_BITS = 3
 SHINGLE = 3
 BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 16
+#: Pivots whose coordinates are the cells of a very hot key.
+GRID = 3
 #: Keys with more distinct fingerprints go the chunked way.
 HOT_KEY = 256
 CHUNK = 2048
@@ -160,12 +165,45 @@ def _hot_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
+def _cells(large: DataFrame) -> DataFrame:
+    """(task, side, fp) for large(key, fp): every part of a cell with itself and every part of the same or an adjoining cell, once."""
+    step = MAX_BITS + 1
+    at = [f"c{i}" for i in range(GRID)]
+    placed = large.select("key", "fp", *[F.floor(_distance(F.col("fp"), F.lit(REFERENCES[i])) / step).cast("int").alias(c) for i, c in enumerate(at)])
+    sizes = placed.groupBy("key", *at).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int"))
+    sizes, _ = common.materialize(sizes.drop("n"))
+    # offsets that come first in order, and none: each pair of cells is met from one side only
+    offsets = [o for o in product((-1, 0, 1), repeat=GRID) if o >= (0,) * GRID]
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = sizes.select("key", *at, F.explode(F.array(*[F.array(*map(F.lit, o)) for o in offsets])).alias("o"), part.alias("a"))
+    other = sizes.select("key", *[F.col(c).alias(f"d{i}") for i, c in enumerate(at)], part.alias("b"))
+    moved = [F.col(c) + F.col("o")[i] for i, c in enumerate(at)]
+    met = one.select("key", *at, *[m.alias(f"d{i}") for i, m in enumerate(moved)], "a").join(other, ["key", *[f"d{i}" for i in range(GRID)]])
+    same = F.lit(True)
+    for i, c in enumerate(at):
+        same &= F.col(c) == F.col(f"d{i}")
+    met = met.filter(~same | (F.col("a") <= F.col("b"))).withColumn("task", F.concat_ws(",", "key", *at, "a", *[f"d{i}" for i in range(GRID)], "b"))
+    met = met.withColumn("single", same & (F.col("a") == F.col("b")))
+    left = met.select("task", F.when(F.col("single"), 2).otherwise(0).alias("side"), "key", *at, F.col("a").alias("part"))
+    right = met.filter("not single").select("task", F.lit(1).alias("side"), "key", *[F.col(f"d{i}").alias(c) for i, c in enumerate(at)], F.col("b").alias("part"))
+    parted = placed.join(sizes, ["key", *at]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    return left.unionByName(right).join(parted.drop("parts"), ["key", *at, "part"]).select("task", "side", "fp")
+
+
+def _hot_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    fps, side = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64), pdf["side"].to_numpy()
+    found = _forest(fps, None if side[0] == 2 else side)
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(u, v): links between distinct fingerprints of nodes(fp) that join what the links at MAX_BITS join."""
+    before = common.made()
     keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    candidates, path = common.materialize(keyed.join(shared, "key"))
-    few = _with_pivots(candidates.filter(F.col("n") <= HOT_KEY).select("key", "fp"))
+    sizes, _ = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = sizes.withColumn("rows", F.col("n"))
+    candidates, _ = common.materialize(common.join_hot(keyed, shared.withColumnRenamed("n", "held"), "key", nodes.count() * len(list(combinations(BLOCKS, 2))), "rows"))
+    few = _with_pivots(candidates.filter(F.col("held") <= HOT_KEY).select("key", "fp"))
     a, b = few.alias("a"), few.alias("b")
     near = F.col("a.fp") < F.col("b.fp")
     for i in range(PIVOTS):
@@ -173,42 +211,41 @@ def links(nodes: DataFrame) -> DataFrame:
     near &= _distance(F.col("a.fp"), F.col("b.fp")) <= MAX_BITS
     plain = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
-    # every chunk of a hot key meets every other chunk once, and itself
-    count = F.ceil(F.col("n") / CHUNK).cast("long")
-    hot = candidates.filter(F.col("n") > HOT_KEY).withColumn("chunks", count)
-    hot = hot.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    hot = hot.select("key", "fp", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    hot = hot.select("key", "fp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    dense = hot.groupBy("key", "i", "j").applyInPandas(_hot_cell, "u long, v long")
+    hot = candidates.filter((F.col("held") > HOT_KEY) & (F.col("held") <= CHUNK)).select(F.col("key").cast("string").alias("task"), F.lit(2).alias("side"), "fp")
+    large = _cells(candidates.filter(F.col("held") > CHUNK).select("key", "fp"))
+    dense = hot.unionByName(large).groupBy("task").applyInPandas(_hot_cell, "u long, v long")
     found, found_path = common.materialize(plain.unionByName(dense).distinct())
-    common.discard(nodes.sparkSession, path)
+    common.release(nodes.sparkSession, before, found_path)
     found.tessera_path = found_path
     return found
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str | None]:
+def components(edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, str]:
     """(node, root) for every node of edges(u, v): the smallest node of its connected component.
 
     Alternates large-star and small-star steps until the edges no longer change;
-    each step is an aggregate with map-side combine and an equi-join.
+    each step is an aggregate with map-side combine and an equi-join, in which
+    hubs are joined apart. Each round is a table in the shared folder, so a lost
+    executor costs one round.
     """
-    spark, path, seen = edges.sparkSession, None, None
-    current = edges.select("u", "v").filter("u <> v")
+    spark = edges.sparkSession
+    current, path = common.materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))
+    total, seen = current.count(), None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = common.join_hot(both.filter("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large, large_path = common.materialize(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.join_hot(large, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         step, step_path = common.materialize(small.filter("u <> v").distinct())
-        now = tuple(step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if path:
-            common.discard(spark, path)
+        total, print_ = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        common.discard(spark, path, large_path)
         current, path = step, step_path
-        if now == seen:
+        if (total, print_) == seen:
             break
-        seen = now
+        seen = (total, print_)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -216,15 +253,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str |
 
 
 def _classes(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(fp, component_id) for prints(id, fp): the smallest id of each fingerprint's class, by links() or the edges given."""
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    edges = links(nodes) if edges is None else edges
-    members, _ = components(edges)
+    """(fp, component_id, n) for prints(id, fp): the smallest id of each fingerprint's class, by links() or the edges given, and the rows with it."""
+    nodes, _ = common.materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    edges = links(nodes.select("fp")) if edges is None else edges
+    members, members_path = components(edges)
     common.discard(prints.sparkSession, edges.tessera_path)
-    joined = nodes.join(members.withColumnRenamed("node", "fp"), "fp")
-    named = joined.groupBy("root").agg(F.min("rep").alias("first"))
-    of_class = joined.join(named, "root").select("fp", "first")
-    return nodes.join(of_class, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"))
+    joined, _ = common.materialize(nodes.join(members.withColumnRenamed("node", "fp"), "fp").select("fp", "rep", "root"))
+    common.discard(prints.sparkSession, members_path)
+    named = joined.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
+    of_class = common.join_hot(joined.select("fp", "root"), named, "root", joined.count()).select("fp", "first")
+    return nodes.join(of_class, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"), "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints, _ = common.materialize(with_fingerprint(ids, ["id"]))
-    return prints.join(_classes(prints), "fp").select("id", "fp", "component_id")
+    classes, _ = common.materialize(_classes(prints))
+    return common.join_hot(prints, classes, "fp", prints.count()).select("id", "fp", "component_id")
 
 
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"times-{i}".encode(), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
@@ -277,15 +316,20 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text comes first and goes; a key of its shingle set and the bands come last."""
+    """The text comes first and goes; a row number, a key of its shingle set and the bands come last."""
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         keys, bands = [], []
         for text in batch.column(0).to_pylist():
             hashes = shingles(text)
             keys.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)) if len(hashes) else 0)
             bands.append(_bands(hashes))
-        names = [*batch.schema.names[1:], "key", "bands"]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names)
+        rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+        row += batch.num_rows
+        names = [*batch.schema.names[1:], "row", "key", "bands"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -328,27 +372,30 @@ def _near_cell(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_links(sketches: DataFrame) -> DataFrame:
-    """(u, v): verified links between set keys of sketches(key, bands, text) that join what all such links join."""
-    spark = sketches.sparkSession
-    keyed, keyed_path = common.materialize(sketches.select("key", F.explode("bands").alias("band")).distinct())
-    shared = keyed.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("last")).filter("u <> last").drop("last")
-    stars, stars_path = common.materialize(keyed.join(shared, "band").select("u", F.col("key").alias("v")).filter("u <> v").distinct())
-    groups, groups_path = components(stars)
+    """(u, v): verified links between set keys of sketches(row, key, bands, text) that join what all such links join."""
+    spark, before = sketches.sparkSession, common.made()
+    keyed, _ = common.materialize(sketches.select("key", F.explode("bands").alias("band")).distinct())
+    shared = keyed.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("last"), F.count("*").alias("n")).filter("u <> last").drop("last")
+    shared, _ = common.materialize(shared)
+    stars, _ = common.materialize(common.join_hot(keyed, shared, "band", keyed.count()).select("u", F.col("key").alias("v")).filter("u <> v").distinct())
+    groups, _ = components(stars)
     groups = groups.select(F.col("node").alias("key"), "root")
 
     # small groups share a cell; every chunk of a large one meets every other chunk once, and itself
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    few = sizes.filter(F.col("n") <= CELL).agg(F.sum("n")).first()[0] or 0
-    texts = sketches.join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    large = F.col("n") > CELL
-    cell = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 4 * few // CELL)).cast("long")))
-    chunks = F.when(large, F.ceil(F.col("n") / CELL).cast("long")).otherwise(F.lit(1).cast("long"))
-    placed = groups.join(sizes, "root").select("key", large.alias("large"), cell.alias("cell"), chunks.alias("chunks"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).drop("chunks")
-    placed = placed.join(texts, "key").select("key", "text", "large", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    found, found_path = common.materialize(placed.groupBy("large", "cell", "i", "j").applyInPandas(_near_cell, "u long, v long").distinct())
-    common.discard(spark, keyed_path, stars_path, *([groups_path] if groups_path else []))
+    sizes, _ = common.materialize(groups.groupBy("root").agg(F.count("*").alias("n")))
+    few, total = sizes.agg(F.sum(F.when(F.col("n") <= CELL, F.col("n"))), F.sum("n")).first()
+    large = F.col("held") > CELL
+    cell = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 4 * (few or 0) // CELL)).cast("long")))
+    chunks = F.when(large, F.ceil(F.col("held") / CELL).cast("long")).otherwise(F.lit(1).cast("long"))
+    sized = common.join_hot(groups, sizes.withColumn("held", F.col("n")), "root", total or 0)
+    placed = sized.select("key", large.alias("large"), cell.alias("cell"), chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    # one row's text for each key: rows are found by number, so copies of a text never gather
+    one = sketches.groupBy("key").agg(F.min("row").alias("row"))
+    texts = sketches.select("row", "text").join(placed.join(one, "key"), "row")
+    texts = texts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    texts = texts.select("key", "text", "large", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    found, found_path = common.materialize(texts.groupBy("large", "cell", "i", "j").applyInPandas(_near_cell, "u long, v long").distinct())
+    common.release(spark, before, found_path)
     found.tessera_path = found_path
     return found
 
@@ -358,21 +405,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Here two texts link when the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more. Of rows that share that id and the set, the first
-    by text stays. Texts without a word, null ones included, are one class;
-    null ids are treated as in near_duplicates(); extra columns pass through.
+    that is read stays. Texts without a word, null ones included, are one class;
+    null ids are treated as in near_duplicates(); very long texts are compared
+    whole; an empty table gives an empty result; extra columns, whatever their
+    names, pass through.
     """
     common.bound_batches(docs.sparkSession)
     key, bands, row = (common.fresh(docs, x) for x in ("key", "bands", "row"))
     rows = docs.select(F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(docs.columns))] + ["key long, bands array<long>"])
-    printed, _ = common.materialize(rows.mapInArrow(_sketch_batches, schema).toDF(*docs.columns, key, bands))
-    edges = near_links(printed.select(F.col(key).alias("key"), F.col(bands).alias("bands"), F.col(text_col).cast("string").alias("text")))
-    classes = _classes(printed.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp")), edges)
-    classes = classes.select(F.col("fp").alias("class_key"), F.col("component_id").alias("class_id"))
-    named = (printed[key] == classes["class_key"]) & printed[id_col].cast("long").eqNullSafe(classes["class_id"])
-    first = Window.partitionBy(id_col, key).orderBy(text_col)
-    ranked = printed.join(classes, named, "left_semi").withColumn(row, F.row_number().over(first))
-    return ranked.filter(F.col(row) == 1).select(*docs.columns)
+    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(docs.columns))] + ["row long, key long, bands array<long>"])
+    printed, _ = common.materialize(rows.mapInArrow(_sketch_batches, schema).toDF(*docs.columns, row, key, bands))
+    sketches = printed.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(bands).alias("bands"), F.col(text_col).cast("string").alias("text"))
+    prints = printed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp"))
+    classes, _ = common.materialize(_classes(prints.select("id", "fp"), near_links(sketches)).select(F.col("fp").alias("class_key"), F.col("component_id").alias("class_id")))
+    named = (prints["fp"] == classes["class_key"]) & prints["id"].eqNullSafe(classes["class_id"])
+    first = prints.join(classes, named, "left_semi").groupBy("id", "fp").agg(F.min("row").alias(row)).select(row)
+    return printed.join(first, row, "left_semi").select(*docs.columns)
 
 
 def hex_print(fp: Column) -> Column:
