@@ -52,7 +52,7 @@ TRAINER_TOKENS = 1 << 22
 #: Passes, least steps and step size of the first trainer, then of all trainers.
 OPENING, CLOSING = (1, 200, 0.1), (1, 1, 0.03)
 #: Tokens that are scored at once.
-SLICE = 1 << 15
+SLICE = 1 << 16
 SEED = 42
 
 
@@ -190,23 +190,28 @@ class Model:
             now = entries[places].astype(np.int64)
             _, _, hidden = self.hidden(entries, places)
             of_class = self.class_of[now]
-            z = hidden @ self.params["class_targets"].T + self.params["class_bias"]
-            found = _chosen(z, of_class)
+            # tokens class by class, so that each class is one product
             order = np.argsort(of_class.astype(np.int16), kind="stable")
-            cuts = np.searchsorted(of_class[order], np.arange(self.classes + 1))
+            hidden, now, of_class = hidden[order], now[order], of_class[order]
+            found = _chosen(hidden @ self.params["class_targets"].T + self.params["class_bias"], of_class)
+            cuts = np.searchsorted(of_class, np.arange(self.classes + 1))
             for c, (first, last) in enumerate(zip(self.starts, self.ends)):
-                rows = order[cuts[c] : cuts[c + 1]]
-                if len(rows) and last - first > 1:
-                    z = hidden[rows] @ targets[first:last].T + bias[first:last]
-                    found[rows] += _chosen(z, now[rows] - first)
-            out[start : start + SLICE] = found
+                rows = slice(cuts[c], cuts[c + 1])
+                if cuts[c] < cuts[c + 1] and last - first > 1:
+                    found[rows] += _chosen(hidden[rows] @ targets[first:last].T + bias[first:last], now[rows] - first)
+            out[start + order] = found
         return out / math.log(10)
 
 
 def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row of z at the place given."""
-    most = z.max(1)
-    return z[np.arange(len(z)), at].astype(float) - most - np.log(np.exp(z - most[:, None]).sum(1))
+    """The log-softmax of each row of z at the place given; z is overwritten."""
+    own = z[np.arange(len(z)), at].astype(float)
+    most = z.max()
+    if most > 60 or z.min() < -80:  # beyond what float32 exponentials add up safely: a shift for each row
+        most = z.max(1)
+        z -= most[:, None]
+        return own - most - np.log(np.exp(z, out=z).sum(1))
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 #: Parameters travel in rows of so many numbers.
