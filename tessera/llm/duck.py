@@ -75,7 +75,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {fai
 def mixed() -> str:
     m, seed = source_mix.MAX_EPOCHS, source_mix.SEED
     return rf"""WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), lambda w: w <> '')) AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
-classed AS MATERIALIZED (SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS size_class, substr(mark, 1, 1) AS salt FROM sized),
+classed AS MATERIALIZED (SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS size_class, substr(mark, 1, length(format('{{:x}}', (SELECT count(*) FROM documents) // {source_mix.SALTED}))) AS salt FROM sized),
 sums AS (SELECT source, sum(size)::HUGEINT AS s FROM sized GROUP BY 1),
 weighed AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::HUGEINT AS w FROM sums),
 level AS (SELECT *, sum(s) OVER () AS total, coalesce(sum(s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM weighed WINDOW o AS (ORDER BY s * 6 // w, source ASC NULLS LAST)),

@@ -13,7 +13,9 @@ rounding says how many of a class are taken, as long as the smaller classes can
 still make up for it; so a source comes near its target even if a few long
 documents hold most of it. Within a class, every so-many-th document in a seeded
 order is taken. Places in that order come from counts of (source, size class,
-salt), so no source and no class is ever sorted in one task.
+salt), so no source and no class is ever sorted in one task; the salts grow with
+the number of documents, so a cell stays small. What is ordered in one task is
+the table of sources, which must be small enough for that.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tessera.llm import common
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: Documents for each salt of one hex digit less.
+SALTED = 1 << 20
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -61,12 +65,13 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """The columns carry of docs and id, source, size, mark (a seeded order) and cell (source, size class, salt)."""
-    known = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(id_col).alias("id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"))
+    """The columns carry of docs and id, source, size, tie, mark (a seeded order) and cell (source, size class, salt)."""
+    digits = F.length(F.hex(F.lit(docs.count() // SALTED)))
+    known = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(id_col).alias("id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
     mark = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    marked = known.withColumn("mark", mark)
+    marked = known.withColumn("mark", mark).withColumn("salt", F.col("mark").substr(F.lit(1), digits))
     name = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
-    return marked.withColumn("cell", F.concat_ws("|", _size_class().cast("string"), F.substring("mark", 1, 1), name))
+    return marked.withColumn("cell", F.concat_ws("|", _size_class().cast("string"), "salt", name))
 
 
 def _size_class() -> Column:
@@ -90,9 +95,9 @@ def _step(state: Column, one: Column) -> Column:
 
 
 def _plan(sized: DataFrame) -> DataFrame:
-    """A row per cell of sized(source, size, mark, cell): where its places begin, how many of its class are taken, and its source's rates."""
+    """A row per cell of sized(source, size, salt, cell): where its places begin, how many of its class are taken, and its source's rates."""
     goal = targets(sized.select("source", "size")).withColumnRenamed("source", "g_source")
-    counted = sized.groupBy("source", "cell", _size_class().alias("size_class"), F.substring("mark", 1, 1).alias("salt"))
+    counted = sized.groupBy("source", "cell", _size_class().alias("size_class"), "salt")
     cells = counted.agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     earlier = Window.partitionBy("source", "size_class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = cells.select("source", "size_class", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
@@ -117,7 +122,7 @@ def _plan(sized: DataFrame) -> DataFrame:
 
 def _repeated(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """sized with copies: how often the mix takes each document."""
-    inside = Window.partitionBy("cell").orderBy(F.desc("size"), "mark", "id")
+    inside = Window.partitionBy("cell").orderBy(F.desc("size"), "mark", "id", "tie")
     placed = sized.withColumn("inside", F.row_number().over(inside) - 1).join(plan, "cell").withColumn("place", F.col("base") + F.col("inside"))
     once_more = F.expr("(place + 1) * m div n - place * m div n")
     return placed.withColumn("copies", (F.col("whole") + once_more).cast("long"))
@@ -137,7 +142,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them: each row as many times as its copies say, perhaps never; nulls as in mix()."""
+    """docs as the mix takes them: each row as many times as its copies say, perhaps never.
+
+    Nulls, empty and very long texts, empty tables and repeated rows as in mix();
+    of rows with equal id and size the text decides which is taken once more, so
+    reruns agree; other columns, whatever their names, pass through.
+    """
     sized, _ = common.materialize(_sized(docs, id_col, source_col, text_col, []))
     whole = _repeated(_sized(docs, id_col, source_col, text_col, docs.columns), _plan(sized)).filter("copies > 0")
     copied = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

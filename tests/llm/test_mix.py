@@ -63,3 +63,19 @@ def test_no_words_and_empty(spark):
     got = m.mix(frame(spark, [(1, "", "en", "a", 0), (2, None, "en", None, 0)])).collect()
     assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0), (0.0, 0)]
     assert m.mix(frame(spark, [], DOCS)).collect() == [] and m.repeat_rows(frame(spark, [], DOCS)).collect() == []
+
+
+def test_more_salts_keep_the_mix(spark, monkeypatch):
+    rows = documents(300)
+    monkeypatch.setattr(m, "SALTED", 16)  # hundreds of documents: two digits
+    got = m.mix(frame(spark, rows)).collect()
+    goal = {r["source"]: r["target"] for r in got}
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in goal}
+    longest = max(r["size"] for r in got if r["size"] < 20_000)
+    assert all(abs(taken[s] - t) <= max(longest, 30_000 if s == "src3" else 0) for s, t in goal.items()) and len(got) == len(rows)
+
+
+def test_rows_of_equal_id_and_size_are_told_apart(spark):
+    rows = [(1, f"{a} {b} {c}", "en", "s", 1) for a in "ab" for b in "cd" for c in "ef"] + [(2, "x " * 40, "en", "t", 1)]
+    run = lambda n: sorted(map(tuple, m.repeat_rows(frame(spark, rows, slices=n)).collect()))
+    assert run(1) == run(3) == run(5)
