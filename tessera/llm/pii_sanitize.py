@@ -37,7 +37,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -180,12 +180,9 @@ def _mark(bitmap: bytes | None):
             for text in (t or "" for t in batch.column(0).to_pylist()):
                 spans = base_spans(text)
                 base.append(written(spans))
-                found = []
-                if bitmap and any(_known_term(w, bitmap, known) is not None for w in set(_WORD.findall(text))):
-                    for w, x, y in _words(text, spans):
-                        if (h := _known_term(w, bitmap, known)) is not None:
-                            found.append({"term": h, "start": x, "end": y})
-                places.append(found)
+                told = _known_terms(text, bitmap, known) if bitmap else {}
+                each = ((told.get(w.encode("utf-8", "surrogatepass")), x, y) for w, x, y in (_words(text, spans) if told else ()))
+                places.append([{"term": h, "start": x, "end": y} for h, x, y in each if h is not None])
             rows = pa.array(range(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(base, pa.string()), pa.array(places, _PLACES)], [*batch.schema.names[1:], "row", "base", "places"])
@@ -197,15 +194,15 @@ def _mark(bitmap: bytes | None):
 CACHED_WORDS = 400_000
 
 
-def _known_term(word: str, bitmap: bytes, known: dict[str, int | None]) -> int | None:
-    """The hash of a word's term, if it is in the bitmap."""
-    if word in known:
-        return known[word]
+def _known_terms(text: str, bitmap: bytes, known: dict[bytes, int | None]) -> dict[bytes, int]:
+    """The text's words whose terms are in the bitmap, with the hashes of these."""
     if len(known) > CACHED_WORDS:
         known.clear()
-    t = _term_hash(word)
-    t = known[word] = t if t is not None and _in(bitmap, t) else None
-    return t
+    words = set(text.encode("utf-8", "surrogatepass").split())
+    for word in words.difference(known):
+        t = _term_hash(word.decode("utf-8", "surrogatepass"))
+        known[word] = t if t is not None and _in(bitmap, t) else None
+    return {w: t for w in words if (t := known[w]) is not None}
 
 
 def _in(bitmap: bytes, h: int) -> bool:
@@ -217,7 +214,7 @@ def _count_terms(bitmap: bytes, copied: bytes | None):
     """How many texts hold a term of the bitmap; those that may be copies are left out, if a bitmap of them is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int | None] = {}
+        known: dict[bytes, int | None] = {}
         counts: Counter = Counter()
 
         def rows(at_least: int) -> Iterator[pa.RecordBatch]:
@@ -230,7 +227,7 @@ def _count_terms(bitmap: bytes, copied: bytes | None):
             for text in batch.column(0).to_pylist():
                 if copied and _in(copied, _hash(text or "")):
                     continue
-                counts.update({t for w in set(_WORD.findall(text or "")) if (t := _known_term(w, bitmap, known)) is not None})
+                counts.update(set(_known_terms(text or "", bitmap, known).values()))
             yield from rows(50_000)
         yield from rows(1)
 
@@ -275,25 +272,33 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     most = with_entity.agg(F.max("of_entity")).first()[0]
     if most is None:
         return spark.createDataFrame([], "term long, entity long")
-    places, _ = common.materialize(of_entity.join(with_entity, "entity").select("row", "entity"))
+    places, _ = common.materialize(of_entity.join(with_entity, "entity").select("row", "entity", "of_entity"))
+
+    def reveals(n: str) -> Column:
+        """PMI >= DISCLOSURE * IC, for a term in n texts."""
+        share = F.col("of_entity") / F.lit(total)
+        given = (F.col("together") - 1 + PRIOR * share) / (F.col(n) - 1 + PRIOR)
+        information = -F.log2(share)
+        return (information > 0) & (F.log2(given) + information >= DISCLOSURE * information)
+
+    # texts with an entity that hold a term are no more than all texts that do: what they hold too often is out at once
+    known = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("k")).filter("k > 1")
+    known, _ = common.materialize(known)
+    most_often = math.ceil(PRIOR + most * (total / most) ** (1 - DISCLOSURE))  # both <= of_entity
     held = once.join(places.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term"))
-    several = held.groupBy("term").agg(F.count("*").alias("k")).filter("k > 1").select("term")
-    several, _ = common.materialize(several)
-    bitmap, copied = _bitmap(several), _bitmap(prints.filter("n > 1").select("print"))
+    everywhere = F.col("k") > max(most_often, common.HOT_SHARE * (known.agg(F.sum("k")).first()[0] or 0))
+    held = held.join(F.broadcast(known.filter(everywhere).select("term")), "term", "left_anti")  # 1 / HOT_SHARE terms at most
+    held = held.join(known.filter(F.col("k") <= most_often), "term")
+    pairs = held.join(places, "row").groupBy("term", "entity", "of_entity", "k").agg(F.count("*").alias("together")).filter("together > 1")
+    pairs, _ = common.materialize(pairs.filter(reveals("k")))
+    if pairs.isEmpty():
+        return spark.createDataFrame([], "term long, entity long")
+    bitmap, copied = _bitmap(pairs.select("term").distinct()), _bitmap(prints.filter("n > 1").select("print"))
     common.bound_batches(spark)
     singly = texts.mapInArrow(_count_terms(bitmap, copied), "term long, n long")
     copies = texts.mapInArrow(_copied_texts(copied), "print long, t string").groupBy("print").agg(F.first("t").alias("t")).select("t")
     holding = singly.unionByName(copies.mapInArrow(_count_terms(bitmap, None), "term long, n long")).groupBy("term").agg(F.sum("n").alias("n"))
-    # both <= of_entity, so no term in more texts than this can reach the bound for any entity
-    rare = holding.filter(F.col("n") <= math.ceil(PRIOR + most * (total / most) ** (1 - DISCLOSURE)))
-    rare, _ = common.materialize(several.join(rare, "term"))
-    pairs = held.join(rare.select("term"), "term").join(places, "row").groupBy("term", "entity").agg(F.count("*").alias("together")).filter("together > 1")
-    share = F.col("of_entity") / F.lit(total)
-    given = (F.col("together") - 1 + PRIOR * share) / (F.col("n") - 1 + PRIOR)
-    information = -F.log2(share)
-    # PMI >= DISCLOSURE * IC
-    reveals = F.log2(given) + information >= DISCLOSURE * information
-    return pairs.join(rare, "term").join(with_entity, "entity").filter((information > 0) & reveals).select("term", "entity")
+    return pairs.join(holding, "term").filter(reveals("n")).select("term", "entity")
 
 
 def find(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
