@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ OPEN_BINS = 512
 #: Tokens of one packer: 16,384 sequences.
 PACKER_TOKENS = 1 << 26
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+#: Words encoded in one call; a longer text costs the tokenizer more for each word.
+TOGETHER = 200
 
 
 class WordTokenizer:
@@ -72,8 +75,8 @@ class WordTokenizer:
                 split.append(raw.lower().split())
         self._learn(set().union(*(w for i, w in enumerate(split) if i not in odd)))
         self._learn_plain(set().union(*(split[i] for i in odd)))
-        words, plain = self._ids.__getitem__, self._plain.__getitem__
-        return [b"".join(map(plain if i in odd else words, w)) for i, w in enumerate(split)]
+        held = ((self._plain if i in odd else self._ids, w) for i, w in enumerate(split))
+        return [b"".join(itemgetter(*w)(ids)) if len(w) > 1 else b"".join(map(ids.__getitem__, w)) for ids, w in held]
 
     def _learn(self, wanted: set[bytes]) -> None:
         """Makes sure that _ids has every wanted word; two generations of CACHED_WORDS words are kept."""
@@ -103,8 +106,7 @@ class WordTokenizer:
         together = [c for c in new if b"0" not in c]
         apart = [c for c in new if b"0" in c]
         if together:
-            # short texts: the tokenizer's cost for each word grows with the text around it
-            texts = [b" 0 ".join(together[i : i + 50]).decode() for i in range(0, len(together), 50)]
+            texts = [b" 0 ".join(together[i : i + TOGETHER]).decode() for i in range(0, len(together), TOGETHER)]
             flat: list[int] = []
             for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 flat += e.ids
