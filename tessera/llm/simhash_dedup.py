@@ -81,11 +81,11 @@ def fingerprint(text: str | None) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     if len(words) < SHINGLE:
-        hashes = [digest(b" ".join(words), SEED)]
+        hashes = np.array([digest(b" ".join(words), SEED)], "<u8")
     else:
-        hashes = [digest(b"%b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:])]
+        hashes = np.fromiter((digest(b"%b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:])), "<u8", len(words) - 2)
     total = np.zeros(64, np.int64)
-    all_bits = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    all_bits = hashes.view(np.uint8).reshape(-1, 8)
     for at in range(0, len(all_bits), 1 << 16):
         total += np.unpackbits(all_bits[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
@@ -288,10 +288,9 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_intdigest
     if len(words) < NEAR_SHINGLE:
-        hashes = {digest(b" ".join(words), SEED)} if words else set()
-    else:
-        hashes = {digest(b"%b %b %b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:], words[3:], words[4:])}
-    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    hashes = (digest(b"%b %b %b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:], words[3:], words[4:]))
+    return np.unique(np.fromiter(hashes, np.uint64, len(words) - 4))
 
 
 def _set_print(hashes: np.ndarray) -> int:
