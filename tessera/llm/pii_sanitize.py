@@ -181,8 +181,7 @@ def _mark(bitmap: bytes | None):
                 spans = base_spans(text)
                 base.append(written(spans))
                 told = _known_terms(text, bitmap, known) if bitmap else {}
-                each = ((told.get(w.encode("utf-8", "surrogatepass")), x, y) for w, x, y in (_words(text, spans) if told else ()))
-                places.append([{"term": h, "start": x, "end": y} for h, x, y in each if h is not None])
+                places.append(_places(text, spans, told) if told else [])
             rows = pa.array(range(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(base, pa.string()), pa.array(places, _PLACES)], [*batch.schema.names[1:], "row", "base", "places"])
@@ -190,6 +189,13 @@ def _mark(bitmap: bytes | None):
     return run
 
 
+def _places(text: str, spans: list[Span], told: dict[bytes, int]) -> list[dict]:
+    """Where the told words stand outside the spans."""
+    wanted = {w.decode("utf-8", "surrogatepass"): h for w, h in told.items()}
+    hits = [m for m in _WORD.finditer(text) if m[0] in wanted]
+    return [{"term": wanted[m[0]], "start": m.start(), "end": m.end()} for m in hits if all(b <= m.start() or a >= m.end() for _, a, b in spans)]
+
+
 #: Words whose terms a worker remembers.
 CACHED_WORDS = 400_000
 
