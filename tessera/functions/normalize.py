@@ -87,7 +87,8 @@ def fold_latin(s: Column) -> Column:
 def clean(c: Column | str, dialect: str = "batch") -> Column:
     """Dotted acronyms joined, diacritics dropped, lower case, & and + as words, the rest of punctuation as spaces."""
     s = replace_matches(text_of(c), ACRONYM, lambda m: F.replace(m, F.lit("."), F.lit("")))
-    s = F.when(s.rlike(r"[^\x00-\x7F]"), fold(s) if dialect == "batch" else fold_latin(s)).otherwise(s)
+    # only what is not ASCII is folded, run by run
+    s = replace_matches(s, r"[^\x00-\x7F]+", fold) if dialect == "batch" else F.when(s.rlike(r"[^\x00-\x7F]"), fold_latin(s)).otherwise(s)
     s = F.lower(s)
     for old, new in (("&", " and "), ("+", " and "), ("'", "")):
         s = F.replace(s, F.lit(old), F.lit(new))

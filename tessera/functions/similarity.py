@@ -90,7 +90,9 @@ def jaro_winkler_of(a: str, b: str) -> float:
 
 
 def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    pairs = list(zip(a, b))
+    of = {p: jaro_winkler_of(*p) for p in set(pairs)}  # a name meets many candidates of the same name
+    return pd.Series([of[p] for p in pairs], dtype="float64")
 
 
 @cache

@@ -130,8 +130,9 @@ def cluster_features(pairs: DataFrame) -> DataFrame:
 
 def shared_counts(records: DataFrame) -> DataFrame:
     """(id, name_n, addr_n): how many records of a table have the same name and the same address."""
-    count = lambda c: F.count("*").over(Window.partitionBy(c))
-    return records.select("id", count("name_text").alias("name_n"), count("addr_text").alias("addr_n"))
+    count = lambda c, n: records.groupBy(c).agg(F.count("*").alias(n))
+    texts = records.select("id", "name_text", "addr_text")
+    return texts.join(count("name_text", "name_n"), "name_text").join(count("addr_text", "addr_n"), "addr_text").select("id", "name_n", "addr_n")
 
 
 def format_features() -> dict[str, Column]:

@@ -31,10 +31,15 @@ def summary(found: DataFrame, most: int = 10) -> tuple[bool, list[str]]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file; line numbers begin at 1. The file is a single result file, read as one."""
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))
-    rows = whole.select(F.posexplode("lines").alias("at", "value"))
-    return rows.select((F.col("at") + 1).alias("line"), "value").filter("value <> '' or line = 1")
+    """(line, value) of one text file; line numbers begin at 1. Parts of the file are numbered apart and offset by the lines before."""
+    place = F.monotonically_increasing_id()  # the part in the upper bits, the place in it in the lower 33
+    rows = spark.read.text(path).select("value", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before, total = [], 0
+    for r in sorted(rows.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):  # a row for each part of the file
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    return rows.join(offsets, "part").select((F.col("at") + F.col("before") + 1).cast("int").alias("line"), "value").filter("value <> '' or line = 1")
 
 
 def parsed(lines: DataFrame, id_sep: str = ",") -> DataFrame:

@@ -125,6 +125,20 @@ a AS (SELECT id, country, key, idf FROM s1_keys JOIN idf USING (key)), b AS (SEL
 s1_norms AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM a GROUP BY id), pool_norms AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM b GROUP BY id)"""
 
 
+def blocking_pass(tag: str, k: int = 50, prefixes: tuple[str, ...] = (), by_country: bool = False, hard: bool = False) -> str:
+    """CTEs up to ranked_<tag>(s1_id, pool_id, cos, block_rank) over keys of these prefixes; needs PREPARED."""
+    which = f" WHERE substr(key, 1, 2) IN ({', '.join(repr(p) for p in prefixes)})" if prefixes else ""
+    scope = "key, country" if by_country else "key"
+    sized = "(SELECT country, count(*) AS n FROM pool GROUP BY 1) USING (country)" if by_country else "(SELECT count(*) AS n FROM pool) ON true"
+    keys = lambda side: f"(SELECT * FROM (SELECT id, country, unnest(keys) AS key FROM {side}){which})"
+    return f"""pk_{tag} AS {keys('pool')}, df_{tag} AS (SELECT {scope}, count(*) AS df FROM pk_{tag} GROUP BY ALL),
+idf_{tag} AS (SELECT {scope}, ln((n + 1)::DOUBLE / (df + 1)) + 1 AS idf FROM df_{tag} JOIN {sized} WHERE NOT (df > 5000{'' if hard else ' AND df > 0.4 * n'})),
+a_{tag} AS (SELECT id, country, key, idf FROM {keys('s1')} JOIN idf_{tag} USING ({scope})), b_{tag} AS (SELECT id, country, key, idf FROM pk_{tag} JOIN idf_{tag} USING ({scope})),
+dots_{tag} AS (SELECT a.id AS s1_id, b.id AS pool_id, sum(a.idf * a.idf) AS dot FROM a_{tag} a JOIN b_{tag} b ON a.key = b.key AND (a.country = b.country OR a.country = '' OR b.country = '') GROUP BY 1, 2),
+cos_{tag} AS (SELECT s1_id, pool_id, round(dot / (x.norm * y.norm), 9) AS cos FROM dots_{tag} JOIN (SELECT id, sqrt(sum(idf * idf)) AS norm FROM a_{tag} GROUP BY 1) x ON x.id = s1_id JOIN (SELECT id, sqrt(sum(idf * idf)) AS norm FROM b_{tag} GROUP BY 1) y ON y.id = pool_id),
+ranked_{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, pool_id)::INT AS block_rank FROM cos_{tag}) WHERE block_rank <= {k})"""
+
+
 def candidates(k: int = 50) -> str:
     return f"""{INDEX},
 dots AS (SELECT a.id AS s1_id, b.id AS pool_id, sum(a.idf * b.idf) AS dot FROM a JOIN b ON a.key = b.key AND (a.country = b.country OR a.country = '' OR b.country = '') GROUP BY 1, 2),

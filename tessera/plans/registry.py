@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from tessera.functions import normalize, vocab
 
 from tessera.operators import blocking, competition, evaluate, features, learn, profile, scoring, validate
-from tessera.plans import duck, resolve
+from tessera.plans import duck, resolve, store
 from tessera.sources import benchmark, records, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 MATCH = scoring.MatchConfig(unseen_countries=("fr",))
 STUDIO = scoring.MatchConfig(unseen_countries=("fr",), dialect="studio")
 CONFIG = resolve.ResolveConfig(match=MATCH)
-KS = (5, 10, 20, 30, 50)
+KS = (5, 10, 20, 30, 50, 100)
 THRESHOLDS = [round(0.3 + 0.025 * i, 3) for i in range(27)]
 
 
@@ -227,7 +227,10 @@ def relative_cut(spark, sf_dir):
     return blocking.cut_relative(blocking.candidates(*_sides(spark, sf_dir)), 0.5).select("s1_id", "pool_id")
 
 
-@query()
+@query(
+    f"WITH {duck.PREPARED}, {duck.blocking_pass('name', 20, ('n:', 'k:', 'p:', 'c:'))}, {duck.blocking_pass('addr', 20, ('a:', 'b:'))}, {duck.blocking_pass('full')} "
+    "SELECT s1_id, pool_id FROM ranked_name UNION SELECT s1_id, pool_id FROM ranked_addr UNION SELECT s1_id, pool_id FROM ranked_full"
+)
 def multi_pass(spark, sf_dir):
     s1, pool = _sides(spark, sf_dir)
     name = blocking.candidates(s1, pool, blocking.BlockingConfig(top_k=20, prefixes=("n:", "k:", "p:", "c:")))
@@ -235,7 +238,7 @@ def multi_pass(spark, sf_dir):
     return blocking.merged_passes(name, address, blocking.candidates(s1, pool))
 
 
-@query()
+@query(f"WITH {duck.PREPARED}, {duck.blocking_pass('own', by_country=True, hard=True)} SELECT s1_id, pool_id, cos, block_rank FROM ranked_own")
 def candidates_by_country(spark, sf_dir):
     config = blocking.BlockingConfig(idf_scope="country", max_df_mode="hard")
     return blocking.candidates(*_sides(spark, sf_dir), config).select("s1_id", "pool_id", "cos", "block_rank")
@@ -476,38 +479,84 @@ def split_entities(spark, sf_dir):
 # --- validation --------------------------------------------------------------------------------------------------------------
 
 
-def _lines(spark, sf_dir):
-    """The proxy truth as lines of a result file."""
+def _mark(c, of: int):
+    """A seeded number below of for each text."""
+    return (F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("long") % of).cast("int")
+
+
+_mark_sql = "('0x' || substr(md5({}), 1, 8))::BIGINT % {}"
+
+
+def _file(spark, sf_dir):
+    """(line, id, ids) of the proxy truth as a result file; the page's number orders the lines."""
     s1, pool = _sides(spark, sf_dir)
-    rows = sinks.as_lists(s1, records.proxy_truth(s1, pool))
-    body = rows.select((F.row_number().over(Window.orderBy("source1_entity_id")) + 1).alias("line"), F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("value"))
+    rows = sinks.as_lists(s1, records.proxy_truth(s1, pool)).toDF("id", "ids")
+    return rows.select((F.regexp_extract("id", "([0-9]+)$", 1).cast("int") + 2).alias("line"), "id", "ids")
+
+
+def _lines(spark, sf_dir):
+    body = _file(spark, sf_dir).select("line", F.concat_ws("\t", "id", "ids").alias("value"))
     return spark.createDataFrame([(1, validate.HEADER)], "line int, value string").unionByName(body)
 
 
-_LISTS = f"{duck.PREPARED}, {duck.TRUTH}, lists AS (SELECT s1.id AS s1_id, coalesce(string_agg(DISTINCT pool_id, ',' ORDER BY pool_id), '') AS ids FROM s1 LEFT JOIN truth ON s1_id = s1.id GROUP BY 1), file_ AS (SELECT (row_number() OVER (ORDER BY s1_id) + 1)::INT AS line, s1_id, ids FROM lists)"
+def _broken_lines(spark, sf_dir):
+    """The file with a wrong header and, by a seeded number of the id, a fault of each sort."""
+    rows = _file(spark, sf_dir).withColumn("d", _mark(F.col("id"), 9))
+    fault = F.col("d")
+    first = F.when(fault == 1, "").otherwise(F.col("id"))
+    ids = F.when(fault == 2, "S2-1,S2-1").when(fault == 3, "X9-77").when(fault == 5, "S3-999999999").when(fault == 7, "S2-1 S2-1").otherwise(F.col("ids"))
+    body = rows.filter(fault != 4).select("line", F.concat(first, F.lit("\t"), ids, F.when(fault == 0, "\tmore").otherwise("")).alias("value"))
+    again = rows.filter(fault == 6).select(F.col("line") + 1_000_000, F.concat_ws("\t", "id", "ids"))
+    return spark.createDataFrame([(1, "source1_entity_id\tmatches")], "line int, value string").unionByName(body.union(again).toDF("line", "value"))
 
 
-@query(f"WITH {_LISTS} SELECT 'error' AS severity, line, s1_id, 'comma' AS rule FROM file_ WHERE contains(ids, ',')")
+_LISTS = f"{duck.PREPARED}, {duck.TRUTH}, lists AS (SELECT s1.id AS s1_id, coalesce(string_agg(DISTINCT pool_id, ',' ORDER BY pool_id), '') AS ids FROM s1 LEFT JOIN truth ON s1_id = s1.id GROUP BY 1), file_ AS (SELECT regexp_extract(s1_id, '([0-9]+)$', 1)::INT + 2 AS line, s1_id, ids, {_mark_sql.format('s1_id', 9)} AS d FROM lists)"
+_BROKEN = (
+    f"{_LISTS}, rows_ AS (SELECT line, CASE WHEN d = 1 THEN '' ELSE s1_id END AS s1_id, CASE d WHEN 2 THEN 'S2-1,S2-1' WHEN 3 THEN 'X9-77' WHEN 5 THEN 'S3-999999999' WHEN 7 THEN 'S2-1 S2-1' ELSE ids END AS ids, d = 0 AS wide FROM file_ WHERE d <> 4 "
+    "UNION ALL SELECT line + 1000000, s1_id, ids, false FROM file_ WHERE d = 6), whole_ AS (SELECT *, list_filter(string_split(ids, ','), lambda x: x <> '') AS list FROM rows_ WHERE NOT wide), "
+    "both_ AS (SELECT 'error' AS severity, 1 AS line, '' AS s1_id, 'header' AS rule UNION ALL SELECT 'error', line, s1_id, 'columns' FROM rows_ WHERE wide UNION ALL SELECT 'error', line, s1_id, 'empty_s1' FROM whole_ WHERE s1_id = '' "
+    "UNION ALL SELECT 'error', line, s1_id, 'duplicate_s1' FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY line) AS nth FROM whole_) WHERE nth > 1)"
+)
+
+
+@query(f"WITH {_BROKEN} SELECT * FROM both_ UNION ALL SELECT 'warning', line, s1_id, 'repeated_match' FROM whole_ WHERE ids = 'S2-1 S2-1' UNION ALL SELECT 'error', line, s1_id, 'comma' FROM whole_ WHERE contains(ids, ',')")
 def submission_issues(spark, sf_dir):
-    return validate.issues(_lines(spark, sf_dir), "studio")
+    return validate.issues(_broken_lines(spark, sf_dir), "studio")
 
 
-@query(f"WITH {_LISTS} SELECT 'error' AS severity, line, s1_id, 'foreign_id' AS rule FROM file_ WHERE false")
+@query(
+    f"WITH {_BROKEN} SELECT * FROM both_ UNION ALL SELECT 'error', line, s1_id, 'repeated_match' FROM whole_ WHERE len(list) <> len(list_distinct(list)) "
+    "UNION ALL SELECT 'error', line, s1_id, 'foreign_id' FROM whole_ WHERE len(list_filter(list, lambda x: NOT regexp_matches(x, '^S[23]-'))) > 0 UNION ALL SELECT 'error', 0, id, 'missing_s1' FROM s1 WHERE id NOT IN (SELECT s1_id FROM whole_) "
+    "UNION ALL SELECT DISTINCT 'error', line, s1_id, 'unknown_id' FROM (SELECT line, s1_id, unnest(list) AS id FROM whole_) ANTI JOIN pool USING (id)"
+)
 def submission_issues_strict(spark, sf_dir):
     s1, pool = _sides(spark, sf_dir)
-    return validate.issues(_lines(spark, sf_dir), "batch", s1, pool)
+    return validate.issues(_broken_lines(spark, sf_dir), "batch", s1, pool)
+
+
+@query(
+    f"WITH {_LISTS}, first_ AS (SELECT 'warning' AS severity, 1 AS line, '' AS s1_id, 'candidate_header' AS rule) SELECT * FROM first_ UNION ALL SELECT 'summary', count(*)::INT, '', 'lines' FROM file_"
+)
+def candidate_file_issues(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    counted = lines.filter("line > 1").agg(F.count("*").cast("int").alias("line"))
+    return validate.candidate_issues(lines).unionByName(counted.select(F.lit("summary").alias("severity"), "line", F.lit("").alias("s1_id"), F.lit("lines").alias("rule")))
+
+
+_DROPPED = f"top_ AS (SELECT * FROM top WHERE {_mark_sql.format('pool_id', 3)} > 0 AND {_mark_sql.format('s1_id', 7)} > 0)"
 
 
 @query(
-    f"WITH {duck.reranked()}, {duck.TRUTH}, t AS (SELECT DISTINCT s1_id, pool_id FROM truth) SELECT s1.id AS s1_id, NULL::VARCHAR AS pool_id, 'missing_in_candidates' AS rule FROM s1 WHERE id NOT IN (SELECT s1_id FROM top) "
-    "UNION ALL SELECT s1_id, pool_id, 'match_not_candidate' FROM t ANTI JOIN top USING (s1_id, pool_id)"
+    f"WITH {duck.reranked()}, {duck.TRUTH}, {_DROPPED}, t AS (SELECT DISTINCT s1_id, pool_id FROM truth) SELECT s1.id AS s1_id, NULL::VARCHAR AS pool_id, 'missing_in_candidates' AS rule FROM s1 WHERE id NOT IN (SELECT s1_id FROM top_) "
+    "UNION ALL SELECT s1_id, pool_id, 'match_not_candidate' FROM t ANTI JOIN top_ USING (s1_id, pool_id)"
 )
 def subset_issues(spark, sf_dir):
+    """A candidate file that lacks a third of the pool records and a seventh of the S1 records."""
     s1, pool = _sides(spark, sf_dir)
     truth = records.proxy_truth(s1, pool).groupBy("s1_id").agg(F.array_distinct(F.collect_list("pool_id")).alias("ids"))
     lists = s1.select(F.col("id").alias("s1_id")).join(truth, "s1_id", "left").select("s1_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
-    top = _top(spark, sf_dir).groupBy("s1_id").agg(F.collect_list("pool_id").alias("ids"))
-    return validate.subset_issues(lists, top)
+    kept = _top(spark, sf_dir).filter((_mark(F.col("pool_id"), 3) > 0) & (_mark(F.col("s1_id"), 7) > 0))
+    return validate.subset_issues(lists, kept.groupBy("s1_id").agg(F.collect_list("pool_id").alias("ids")))
 
 
 @query(f"WITH {duck.PREPARED}, {duck.TRUTH}, n AS (SELECT s1.id, count(DISTINCT pool_id) AS n FROM s1 LEFT JOIN truth ON s1_id = s1.id GROUP BY 1) SELECT count(*) AS n_s1, count(*) FILTER (n = 0) AS n_singletons, sum(n)::BIGINT AS n_pairs, max(n) AS max_ids, round(avg(n), 2) AS mean_ids FROM n")
@@ -581,9 +630,70 @@ _only = "list_distinct(list_filter({}, lambda t: NOT list_contains({}, t)))"
 _WORDS = f"words_ AS (SELECT s1_id, pool_id, a_country AS country, 'extra' AS kind, unnest({_only.format('b_name_toks', 'a_name_toks')}) AS word FROM pairs UNION ALL SELECT s1_id, pool_id, a_country, 'missing', unnest({_only.format('a_name_toks', 'b_name_toks')}) FROM pairs)"
 
 
-@query(f"WITH {duck.candidates()}, {duck.TRUTH}, {_WORDS} SELECT kind, word, count(*) AS n, round((count(t.s1_id) + 2.5) / (count(*) + 5.0), 9) AS score FROM words_ w LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.s1_id = w.s1_id AND t.pool_id = w.pool_id GROUP BY ALL")
+_SCORES = (
+    f"of_fold AS (SELECT kind, word, ({_mark_sql.format('w.s1_id', 5)})::INT AS fold, count(*) AS n, count(t.s1_id) AS hits FROM words_ w LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.s1_id = w.s1_id AND t.pool_id = w.pool_id GROUP BY ALL), "
+    "left_out AS (SELECT kind, word, fold, sum(n) OVER (PARTITION BY kind, word) - n AS n, sum(hits) OVER (PARTITION BY kind, word) - hits AS hits FROM of_fold UNION ALL SELECT kind, word, -1, sum(n), sum(hits) FROM of_fold GROUP BY 1, 2)"
+)
+
+
+@query(f"WITH {duck.candidates()}, {duck.TRUTH}, {_WORDS}, {_SCORES} SELECT kind, word, fold, n::BIGINT AS n, round((hits + 2.5) / (n + 5.0), 9) AS score FROM left_out")
 def learned_word_scores(spark, sf_dir):
-    return learn.word_scores(_pairs(spark, sf_dir), _truth(spark, sf_dir)).filter("fold = -1").select("kind", "word", "n", "score")
+    return learn.word_scores(_pairs(spark, sf_dir), _truth(spark, sf_dir))
+
+
+_ADDRESS_KEYS = (
+    "aw AS (SELECT country, unnest(list_distinct(addr_toks)) AS word FROM prep), af AS (SELECT country, word, count(*) AS df FROM aw GROUP BY ALL), "
+    "ak AS (SELECT p.id, word, row_number() OVER (PARTITION BY p.id ORDER BY df, word) AS r FROM (SELECT id, country, unnest(list_distinct(addr_toks)) AS word FROM prep) p JOIN af USING (country, word) WHERE NOT regexp_full_match(word, '[0-9]+')), "
+    "akeys AS (SELECT prep.id, CASE WHEN len(numbers) > 0 AND word IS NOT NULL THEN numbers[1] || '_' || word END AS addr_key FROM prep LEFT JOIN ak ON ak.id = prep.id AND r = 1)"
+)
+_logged = lambda kind, best: f"round(ln(1 + {best}(df) FILTER (kind = '{kind}')), 9) AS {kind}_df_{best}"
+
+
+@query(
+    f"WITH {duck.candidates()}, {duck.TRUTH}, {_WORDS}, {_ADDRESS_KEYS}, n_words AS (SELECT kind, word FROM words_ GROUP BY ALL HAVING count(*) >= 3), held AS (SELECT word, count(*) AS df FROM (SELECT id, unnest(list_distinct(name_toks)) AS word FROM pool) GROUP BY 1), "
+    "w AS (SELECT words_.s1_id, words_.pool_id, words_.kind, coalesce(df, 0) AS df, n_words.word IS NULL AS strange FROM words_ LEFT JOIN held ON held.word = words_.word LEFT JOIN n_words ON n_words.word = words_.word AND n_words.kind = words_.kind), "
+    f"of_pair AS (SELECT s1_id, pool_id, {', '.join(_logged(k, b) for k in ('extra', 'missing') for b in ('min', 'max'))}, count(*) FILTER (kind = 'extra' AND strange) AS extra_unknown FROM w GROUP BY 1, 2), cores AS (SELECT id, count(*) OVER (PARTITION BY core_text) AS s1_core_n FROM s1) "
+    "SELECT p.s1_id, p.pool_id, s1_core_n, extra_df_min, extra_df_max, missing_df_min, missing_df_max, coalesce(extra_unknown, 0) AS extra_unknown, coalesce(x.addr_key = y.addr_key, false)::INT AS same_addr_key "
+    "FROM pairs p JOIN cores ON cores.id = p.s1_id JOIN akeys x ON x.id = p.s1_id JOIN akeys y ON y.id = p.pool_id LEFT JOIN of_pair o ON o.s1_id = p.s1_id AND o.pool_id = p.pool_id"
+)
+def differing_counts(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    known = learn.word_scores(pairs, _truth(spark, sf_dir)).filter("fold = -1 and n >= 3")
+    return learn.differing_counts(pairs, *_sides(spark, sf_dir), known)
+
+
+_LATIN, _INDIC = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x0915, 0x0915 + 26)))
+
+
+@query(
+    f"WITH {duck.PREPARED}, {duck.TRUTH}, named AS (SELECT string_split(x.name_text, ' ') AS a, string_split(translate(y.name_text, '{_LATIN}', '{_INDIC}'), ' ') AS b FROM truth t JOIN s1 x ON x.id = t.s1_id JOIN pool y ON y.id = t.pool_id), "
+    "met AS (SELECT unnest(a) AS latin, unnest(b) AS word FROM named WHERE len(a) = len(b)), counted AS (SELECT word, latin, count(*) AS n FROM met WHERE regexp_matches(word, '[\u0900-\u0D7F]') AND regexp_full_match(latin, '[ -~]+') GROUP BY ALL) "
+    "SELECT word, latin, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, latin) AS r FROM counted WHERE n >= 2) WHERE r = 1"
+)
+def learned_dictionary(spark, sf_dir):
+    """From true pairs whose pool names are written in Devanagari letters, one letter for each Latin one."""
+    s1, pool = _sides(spark, sf_dir)
+    left = s1.select(F.col("id").alias("s1_id"), F.col("name_text").alias("left_name"))
+    right = pool.select(F.col("id").alias("pool_id"), F.translate("name_text", _LATIN, _INDIC).alias("right_name"))
+    return learn.learn_dictionary(_truth(spark, sf_dir).join(left, "s1_id").join(right, "pool_id"))
+
+
+@query(f"WITH {duck.owned()} SELECT s1_id, pool_id, round(prob, 6) AS prob FROM owned")
+def reused_scores(spark, sf_dir):
+    """The decision rule applied again to stored probabilities, without candidates or features."""
+    stored = store.stored(_scored(spark, sf_dir))
+    return resolve.matches(stored, CONFIG).select("s1_id", "pool_id", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def matcher_importances(spark, sf_dir):
+    """A tree model trained on the kept pairs and the proxy truth: what each feature weighs in it."""
+    columns = ["name_ratio", "name_token_set", "name_jw", "addr_ratio", "skel_ratio", "core_ratio", "num_shared"]
+    true = _truth(spark, sf_dir).distinct().withColumn("y", F.lit(1.0))
+    rows = _top(spark, sf_dir)
+    columns = [c for c in columns if c in rows.columns]
+    labelled = rows.join(true, ["s1_id", "pool_id"], "left").select(*[F.col(c).cast("double").alias(c) for c in columns], F.coalesce("y", F.lit(0.0)).alias("y"))
+    return learn.importances(learn.train_matcher(store.stored(labelled), columns), columns, spark)
 
 
 _conflict = "(len(a_numbers) > 0 AND len(b_numbers) > 0 AND a_numbers[1] <> b_numbers[1])::INT"
@@ -594,7 +704,10 @@ def sibling_rates(spark, sf_dir):
     return learn.sibling_rates(_pairs(spark, sf_dir))
 
 
-@query()
+_elsewhere = lambda short, c: f"(b_{c} <> '' AND EXISTS (SELECT 1 FROM s1 WHERE s1.{c} = p.b_{c} AND s1.id <> p.s1_id))::INT AS cand_{short}_other_s1"
+
+
+@query(f"WITH {duck.candidates()} SELECT s1_id, pool_id, {_elsewhere('name', 'name_text')}, {_elsewhere('core', 'core_text')}, {_elsewhere('addr', 'addr_text')} FROM pairs p")
 def owned_elsewhere(spark, sf_dir):
     s1, pool = _sides(spark, sf_dir)
     return learn.owned_elsewhere(resolve.candidate_pairs(s1, pool), s1)

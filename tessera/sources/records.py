@@ -82,12 +82,21 @@ def proxy_truth(s1: DataFrame, pool: DataFrame) -> DataFrame:
     return a.join(b, ["name", "country", "block"]).select("s1_id", "pool_id")
 
 
-def sample_by_country(records: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """A share of each country's records, at least one, in a seeded order."""
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), "id").cast("binary"))
-    rank = F.row_number().over(Window.partitionBy("country").orderBy(mark, "id"))
-    size = F.count("*").over(Window.partitionBy("country"))
-    return records.select("*", rank.alias("rank_"), size.alias("size_")).filter(F.col("rank_") <= F.greatest(F.lit(1), F.floor(F.col("size_") * share))).drop("rank_", "size_")
+def sample_by_country(records: DataFrame, share: float = 0.1, seed: int = 42, buckets: int = 4096) -> DataFrame:
+    """A share of each country's records, at least one, in a seeded order.
+
+    The order's upper digits are buckets; counts of (country, bucket) say which buckets lie below the share, so only
+    the one bucket of a country that the share cuts is ranked.
+    """
+    marked = records.withColumn("mark_", F.md5(F.concat(F.lit(f"{seed}:"), "id").cast("binary")))
+    marked = marked.withColumn("bucket_", (F.conv(F.substring("mark_", 1, 8), 16, 10).cast("long") % (1 << 32) * buckets / (1 << 32)).cast("int"))
+    counts = marked.groupBy(F.col("country").alias("country_"), F.col("bucket_").alias("b_")).agg(F.count("*").alias("n"))
+    of_country = Window.partitionBy("country_")
+    counts = counts.withColumn("before", F.sum("n").over(of_country.orderBy("b_")) - F.col("n")).withColumn("size", F.sum("n").over(of_country))
+    counts = counts.withColumn("wanted", F.greatest(F.lit(1), F.floor(F.col("size") * share)) - F.col("before")).filter("wanted > 0")
+    met = marked.join(F.broadcast(counts.select("country_", "b_", "n", "wanted")), F.col("country").eqNullSafe(F.col("country_")) & (F.col("bucket_") == F.col("b_")))
+    cut = met.filter("wanted < n").withColumn("rank_", F.row_number().over(Window.partitionBy("country_", "b_").orderBy("mark_", "id"))).filter("rank_ <= wanted")
+    return met.filter("wanted >= n").select(*records.columns).unionByName(cut.select(*records.columns))
 
 
 def sample_pool(pool: DataFrame, truth: DataFrame, sample: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:

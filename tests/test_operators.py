@@ -155,3 +155,31 @@ def test_flattened_pools(spark):
 def test_split_has_exact_sizes(spark):
     parts = {r["part"]: r["count"] for r in evaluate.split(spark.range(1003).selectExpr("cast(id as string) as id")).groupBy("part").count().collect()}
     assert parts == {"train": 802, "validation": 201}
+
+
+def test_lines_are_numbered_over_parts(spark, tmp_path):
+    path = tmp_path / "long.tsv"
+    path.write_text("\n".join(f"row {i}" for i in range(1, 5001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = validate.read_lines(spark, str(path))
+        assert {r["line"]: r["value"] for r in lines.collect()} == {i: f"row {i}" for i in range(1, 5001)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sample_by_country_takes_the_share(spark):
+    from tessera.sources import records
+
+    rows = spark.createDataFrame([(f"S1-{i}", "ab"[i % 2] if i else "c") for i in range(1001)], "id string, country string")
+    for share in (0.001, 0.1, 0.5, 1.0):
+        got = {r["country"]: r["count"] for r in records.sample_by_country(rows, share, buckets=16).groupBy("country").count().collect()}
+        assert got == {"a": max(1, int(500 * share)), "b": max(1, int(500 * share)), "c": 1}
+
+
+def test_scaled_records(spark):
+    from tessera.sources import benchmark
+
+    rows = benchmark.scaled_records(spark, 200)
+    assert rows.count() == 1000 and rows.select("id").distinct().count() == 1000 and rows.filter("src = 'S1'").count() == 200
