@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.store import shared_dir
+
 #: One run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of one Arrow batch; texts differ in length by orders of magnitude, so batches stay short.
 BATCH_ROWS = 512
 
-_own_dir: list[str] = []
 _made: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, else that of its context.
-
-    A temporary one only in local mode, where one machine is all there is.
-    """
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured.rstrip("/")
-    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if of_context.isDefined():
-        return of_context.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
-    return f"file://{_own_dir[0]}"
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches at BATCH_ROWS or fewer, so that a worker holds few texts at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
