@@ -34,7 +34,7 @@ OPEN_BINS = 512
 #: Tokens of one packer: 16,384 sequences.
 PACKER_TOKENS = 1 << 26
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: Words encoded in one call; a longer text costs the tokenizer more for each word.
 TOGETHER = 200
 
@@ -88,10 +88,12 @@ class WordTokenizer:
             again = missing.intersection(older)
             ids.update(zip(again, map(older.__getitem__, again)))
             missing -= again
-        new, ended, trail = [], [], self.TRAIL
-        for word in missing:
+        trail, last = self.TRAIL, frozenset(self.TRAIL)
+        pointed = [w for w in missing if w[-1] in last]
+        new, ended = list(missing.difference(pointed)), []
+        for word in pointed:
             core = word.rstrip(trail)
-            if core is word or not core or not (core[-1:].isalnum() or self._ends_in_letter(core)):
+            if not core or not (core[-1:].isalnum() or self._ends_in_letter(core)):
                 new.append(word)
                 continue
             end = word[len(core) :]
@@ -115,7 +117,7 @@ class WordTokenizer:
             ends = np.flatnonzero(found == self._parting) * 4
             if len(ends) == len(together):
                 raw = found.tobytes()
-                ids.update((core, raw[a:b]) for core, a, b in zip(together, [0, *(ends + 4).tolist()], ends.tolist()))
+                ids.update(zip(together, [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())]))
             else:
                 apart += together
         if apart:

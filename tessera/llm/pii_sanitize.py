@@ -197,7 +197,7 @@ def _places(text: str, spans: list[Span], told: dict[bytes, int]) -> list[dict]:
 
 
 #: Words whose terms a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def _known_terms(text: str, bitmap: bytes, known: dict[bytes, int | None]) -> dict[bytes, int]:

@@ -58,7 +58,7 @@ MOST_VOTES = 3
 SPREAD = 60.0
 MOST_HITS = 3.0
 ROUNDS = 30
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 # fixed values: words that insult, by language
 LEXICONS = {
