@@ -22,13 +22,17 @@ never formed; a cell above CHUNK is cut by hash, and each pair of parts is a tas
 
 All that is op1's rule. keep_one(), the pipeline's stage, asks more: it links
 texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY
-or more. Such pairs differ in up to about NEAR_BITS bits of a SimHash of these
-sets, too many for blocks of 64 bits to be keys, so candidates share one of
-BANDS MinHash bands of BAND_ROWS values; a pair at exactly 0.8 misses all with
-probability (1 - 0.8^6)^24 < 0.001. Sizes and the SimHash distance discard
-candidates, exact Jaccard similarities decide. Buckets become stars and these
-candidate groups, so each text is read once for all of its bands; a group of
-more than CELL texts is cut into chunk pairs as hot keys are.
+or more. The method is the same, cut to that distance. A set's SimHash has
+NEAR_WORDS words; pairs at exactly 0.8 differ in 15 % of its bits (19 % between
+sets of four and five shingles). Agreement on blocks is no longer certain, so
+there are many: each of TABLES tables takes a fingerprint to a cell by CELL_BITS
+bits, and in a cell FINE further blocks of FINE_BITS bits each are the keys.
+Pairs that agree on one are discarded by the first word, by the distances to
+PIVOTS references, and by all words (NEAR_BITS); a unit of cells returns a
+spanning forest of what is left. A cell that holds far more than others is cut
+into chunk pairs. The components are candidate groups, so each text is read once
+for all of its keys; all pairs of a group within NEAR_BITS are verified by exact
+Jaccard similarities. A group of more than CELL texts is cut into chunk pairs.
 """
 
 from __future__ import annotations
@@ -56,12 +60,19 @@ HOT_KEY = 256
 CHUNK = 2048
 SEED = 42
 
-#: keep_one(): words of a shingle, the least similarity, the largest SimHash distance of a pair that is verified.
+#: keep_one(): words of a shingle, the least similarity, words of a SimHash, its largest distance in
+#: the first word and in all of a pair that is verified.
 NEAR_SHINGLE = 5
 SIMILARITY = (4, 5)
-NEAR_BITS = 24
-BANDS = 24
-BAND_ROWS = 6
+NEAR_WORDS = 4
+NEAR_BITS = (24, 72)
+#: keep_one()'s keys: tables, bits of a table's cells, blocks in a cell and their bits.
+TABLES, CELL_BITS = 24, 5
+FINE, FINE_BITS = 10, 7
+#: Fingerprints of one unit of cells, about; a cell with more than NEAR_CHUNK and four times its share, or more than NEAR_MOST, is cut.
+UNIT, NEAR_CHUNK, NEAR_MOST = 4096, 8192, 1 << 20
+#: Keys with more fingerprints are met block by block.
+SHORT_RUN = 64
 #: Texts of one verifying task, or of each of its two sides.
 CELL = 512
 
@@ -279,8 +290,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return common.join_hot(prints, classes, "fp", prints.count()).select("id", "fp", "component_id")
 
 
-_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"times-{i}".encode(), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
-_ADDENDS = np.array([xxhash.xxh64_intdigest(f"plus-{i}".encode(), SEED) for i in range(BANDS * BAND_ROWS)], np.uint64)
+#: Bits that each table reads: its cell's, then those of each block.
+_PLACES = [np.random.default_rng([SEED, t]).permutation(64 * NEAR_WORDS)[: CELL_BITS + FINE * FINE_BITS].tolist() for t in range(TABLES)]
+#: Reference fingerprints of the stage's pivot tables.
+_NEAR_REFERENCES = np.array([[xxhash.xxh64_intdigest(f"pivot-{i}-{w}".encode(), SEED) for w in range(NEAR_WORDS)] for i in range(PIVOTS)], np.uint64)
+_FACTORS = [np.uint64(xxhash.xxh64_intdigest(f"times-{w}".encode(), SEED) | 1) for w in range(2 * NEAR_WORDS)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -293,42 +307,55 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(words) - 4))
 
 
-def _set_print(hashes: np.ndarray) -> int:
-    """SimHash of a set of shingles."""
-    total = np.zeros(64, np.int64)
-    all_bits = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(all_bits), 1 << 16):
-        total += np.unpackbits(all_bits[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+def _set_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, NEAR_WORDS words long; the words after the first are of the hashes mixed anew."""
+    total = np.zeros(64 * NEAR_WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        part = hashes[at : at + (1 << 13)]
+        mixed = np.empty((len(part), NEAR_WORDS), "<u8")
+        mixed[:, 0] = part
+        for w in range(1, NEAR_WORDS):
+            x = part * _FACTORS[2 * w]
+            x = (x ^ (x >> np.uint64(32))) * _FACTORS[2 * w + 1]
+            mixed[:, w] = x ^ (x >> np.uint64(29))
+        # bytes of 0 and 1, eight to a word: sums of 255 rows at most do not carry
+        lanes = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        for start in range(0, len(lanes), 255):
+            total += lanes[start : start + 255].sum(0).view(np.uint8)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
-def _bands(hashes: np.ndarray) -> list[int]:
-    """A signed key for each band of the set's MinHash signature; none for an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 9):
-        part = hashes[at : at + (1 << 9)]
-        least = np.minimum(least, (_MULTIPLIERS[:, None] * part + _ADDENDS[:, None]).min(1))
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), n)) for n, r in enumerate(rows)]
+def _block(prints: np.ndarray, places: list[int]) -> np.ndarray:
+    """The bits at places of each fingerprint (a row of words), as a number."""
+    out = np.zeros(len(prints), np.int64)
+    for p in places:
+        out = out << 1 | (prints[:, p >> 6] >> np.uint64(p & 63) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def _cells_of(prints: np.ndarray) -> np.ndarray:
+    """A row for each fingerprint: its cell in each table, numbered through."""
+    return np.stack([(t << CELL_BITS) + _block(prints, places[:CELL_BITS]) for t, places in enumerate(_PLACES)], axis=1)
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text comes first and goes; a row number, a key of its shingle set and the bands come last."""
+    """The text comes first and goes; a row number, a key of its shingle set, its size, its fingerprint and its cells come last."""
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        keys, bands = [], []
-        for text in batch.column(0).to_pylist():
+        prints, sizes, keys = np.zeros((batch.num_rows, NEAR_WORDS), np.uint64), [], []
+        for i, text in enumerate(batch.column(0).to_pylist()):
             hashes = shingles(text)
             keys.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)) if len(hashes) else 0)
-            bands.append(_bands(hashes))
+            sizes.append(len(hashes))
+            prints[i] = _set_print(hashes)
         rows = pa.array(range(row, row + batch.num_rows), pa.int64())
         row += batch.num_rows
-        names = [*batch.schema.names[1:], "row", "key", "bands"]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names)
+        cells = pa.FixedSizeListArray.from_arrays(pa.array(_cells_of(prints).ravel(), pa.int32()), TABLES).cast(pa.list_(pa.int32()))
+        words = pa.FixedSizeListArray.from_arrays(pa.array(prints.view(np.int64).ravel()), NEAR_WORDS).cast(pa.list_(pa.int64()))
+        names = [*batch.schema.names[1:], "row", "key", "size", "words", "cells"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), words, cells], names)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -337,46 +364,137 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
 
 
-def _near_forest(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
-    """A spanning forest of the verified links among sets that share a band (across the two sides, if given)."""
-    sizes, label = np.array([len(x) for x in sets]), np.arange(len(sets))
-    fps = np.array([_set_print(x) for x in sets], np.uint64)
-    refuted = np.zeros((len(sets), len(sets)), bool)
-    found = []
-    for column in np.array([_bands(x) for x in sets], np.int64).T:
-        order = np.argsort(column, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(column[order])) + 1):
-            for at, i in enumerate(run[:-1]):
-                js = run[at + 1 :]
-                if side is not None:
-                    js = js[side[js] != side[i]]
-                js = js[(label[js] != label[i]) & ~refuted[i, js]]
-                js = js[SIMILARITY[1] * np.minimum(sizes[js], sizes[i]) >= SIMILARITY[0] * np.maximum(sizes[js], sizes[i])]
-                for j in js[np.bitwise_count(fps[js] ^ fps[i]) <= NEAR_BITS]:
-                    if label[j] == label[i]:
-                        continue
-                    if similar(sets[i], sets[j]):
-                        label[label == label[j]] = label[i]
-                        found.append((int(i), int(j)))
-                    else:
-                        refuted[i, j] = refuted[j, i] = True
+def _near_pairs(prints: np.ndarray, pivots: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) are close enough: by the pivot tables, then by the words, then by size."""
+    keep = np.flatnonzero((np.abs(pivots[a] - pivots[b]) <= NEAR_BITS[1]).all(1))
+    keep = keep[np.bitwise_count(prints[a[keep]] ^ prints[b[keep]]).sum(1, dtype=np.int64) <= NEAR_BITS[1]]
+    x, y = sizes[a[keep]], sizes[b[keep]]
+    return keep[SIMILARITY[1] * np.minimum(x, y) >= SIMILARITY[0] * np.maximum(x, y)]
+
+
+def _pivot_table(prints: np.ndarray) -> np.ndarray:
+    """The distances of each fingerprint to the references."""
+    return np.stack([np.bitwise_count(prints ^ r).sum(1, dtype=np.int16) for r in _NEAR_REFERENCES], axis=1)
+
+
+def near_candidates(prints: np.ndarray, sizes: np.ndarray, cells: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs that share a key within a cell (across the two sides, if given)."""
+    pivots, parent, found = _pivot_table(prints), np.arange(len(prints)), []
+    first = np.ascontiguousarray(prints[:, 0])
+
+    def roots(rows: np.ndarray) -> np.ndarray:
+        at = parent[rows]
+        while (up := parent[at]).tobytes() != at.tobytes():
+            at = up
+        parent[rows] = at
+        return at
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        if side is not None:
+            cross = side[a] != side[b]
+            a, b = a[cross], b[cross]
+        if not len(a):
+            return
+        keep = _near_pairs(prints, pivots, sizes, a, b)
+        for x, y in zip(a[keep].tolist(), b[keep].tolist()):
+            u, v = root(x), root(y)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                found.append((x, y))
+
+    for at in range(FINE):
+        keys = np.empty(len(prints), np.int64)
+        for t in np.unique(cells >> CELL_BITS).tolist():
+            own = np.flatnonzero(cells >> CELL_BITS == t)
+            places = _PLACES[t][CELL_BITS + at * FINE_BITS : CELL_BITS + (at + 1) * FINE_BITS]
+            keys[own] = (cells[own] << FINE_BITS) + _block(prints[own], places)
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order], prepend=-1, append=-1))
+        lengths = np.diff(cuts)
+        # short runs all at once: each place with the one so many places on
+        short = order[np.repeat(lengths <= SHORT_RUN, lengths)]
+        key, x = keys[short], first[short]
+        for s in range(1, int(lengths[lengths <= SHORT_RUN].max(initial=1))):
+            hits = np.flatnonzero((key[s:] == key[:-s]) & (np.bitwise_count(x[s:] ^ x[:-s]) <= NEAR_BITS[0]))
+            join(short[hits], short[hits + s])
+        for c in np.flatnonzero(lengths > SHORT_RUN):
+            rest, step = order[cuts[c] : cuts[c + 1]], 1
+            while len(rest):  # rows of the largest tree are met by all others
+                tree = roots(rest)
+                values, counts = np.unique(tree, return_counts=True)
+                waiting = np.flatnonzero(tree != values[counts.argmax()])[:step]
+                if not len(waiting):
+                    break
+                i, j = np.nonzero(np.bitwise_count(first[rest[waiting], None] ^ first[rest]) <= NEAR_BITS[0])
+                apart = tree[waiting[i]] != tree[j]
+                join(rest[waiting[i[apart]]], rest[j[apart]])
+                rest, step = np.delete(rest, waiting), min(2 * step, 128)
+    return found
+
+
+def _near_unit(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, sizes, cells = (pdf[c].to_numpy("int64") for c in ("key", "size", "cell"))
+    prints = np.stack([pdf[f"w{i}"].to_numpy("int64") for i in range(NEAR_WORDS)], axis=1).view(np.uint64)
+    one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    found = np.array(near_candidates(prints, sizes, cells, None if one else (pdf["chunk"] == pdf["i"]).to_numpy()), np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": keys[found[:, 0]], "v": keys[found[:, 1]]})
+
+
+def _near_forest(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the verified links within groups of sets (across the two sides, if given)."""
+    sizes, label, found = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    prints = np.stack([_set_print(x) for x in sets])
+    pivots = _pivot_table(prints)
+    for i in range(len(sets) - 1):
+        near = (groups[i + 1 :] == groups[i]) & (label[i + 1 :] != label[i])
+        if side is not None:
+            near &= side[i + 1 :] != side[i]
+        js = np.flatnonzero(near) + i + 1
+        for j in js[_near_pairs(prints, pivots, sizes, np.full(len(js), i), js)]:
+            if label[j] != label[i] and similar(sets[i], sets[j]):
+                label[label == label[j]] = label[i]
+                found.append((int(i), int(j)))
     return found
 
 
 def _near_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, sets = pdf["key"].to_numpy("int64"), [shingles(t) for t in pdf["text"]]
+    keys, groups, sets = pdf["key"].to_numpy("int64"), pdf["root"].to_numpy("int64"), [shingles(t) for t in pdf["text"]]
     one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    found = _near_forest(sets, None if one else (pdf["chunk"] == pdf["i"]).to_numpy())
+    found = _near_forest(sets, groups, None if one else (pdf["chunk"] == pdf["i"]).to_numpy())
     return pd.DataFrame([(keys[a], keys[b]) for a, b in found], columns=["u", "v"], dtype="int64")
 
 
+def _candidate_edges(nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that join what the near pairs of nodes(key, size, words, cells) join."""
+    per_cell = nodes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()  # one row for each of TABLES * 2^CELL_BITS cells
+    total, cells = sum(r["n"] for r in per_cell), TABLES << CELL_BITS
+    most = max(NEAR_CHUNK, min(NEAR_MOST, 4 * total // cells))
+    parts = [(r["cell"], -(-r["n"] // most)) for r in per_cell if r["n"] > most]
+    parts = F.broadcast(nodes.sparkSession.createDataFrame(parts, "cell int, parts long"))
+    # cells that end in the same bits share a unit
+    units = min(CELL_BITS, max(0, (total // TABLES // UNIT).bit_length()))
+    same = F.lit((-1 << CELL_BITS) | ((1 << units) - 1)).cast("int")
+    words = [F.col("words")[i].alias(f"w{i}") for i in range(NEAR_WORDS)]
+    met = nodes.filter("size > 0").select("key", "size", *words, F.explode("cells").alias("cell")).join(parts, "cell", "left")
+    met = met.withColumn("unit", F.when(F.col("parts").isNull(), F.col("cell").bitwiseAND(same)).otherwise(F.col("cell") + cells))
+    met = met.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("parts")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("key", "size", *[f"w{i}" for i in range(NEAR_WORDS)], "cell", "unit", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return met.groupBy("unit", "i", "j").applyInPandas(_near_unit, "u long, v long").distinct()
+
+
 def near_links(sketches: DataFrame) -> DataFrame:
-    """(u, v): verified links between set keys of sketches(row, key, bands, text) that join what all such links join."""
+    """(u, v): verified links between set keys of sketches(row, key, size, words, cells, text) that join what all such links join."""
     spark, before = sketches.sparkSession, common.made()
-    keyed, _ = common.materialize(sketches.select("key", F.explode("bands").alias("band")).distinct())
-    shared = keyed.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("last"), F.count("*").alias("n")).filter("u <> last").drop("last")
-    shared, _ = common.materialize(shared)
-    stars, _ = common.materialize(common.join_hot(keyed, shared, "band", keyed.count()).select("u", F.col("key").alias("v")).filter("u <> v").distinct())
+    # one row for each key: rows are found by number, so copies of a text never gather
+    one, _ = common.materialize(sketches.groupBy("key").agg(F.min("row").alias("row")).select("row"))
+    nodes, _ = common.materialize(sketches.select("row", "key", "size", "words", "cells").join(one, "row", "left_semi"))
+    stars, _ = common.materialize(_candidate_edges(nodes))
     groups, _ = components(stars)
     groups = groups.select(F.col("node").alias("key"), "root")
 
@@ -387,12 +505,11 @@ def near_links(sketches: DataFrame) -> DataFrame:
     cell = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 4 * (few or 0) // CELL)).cast("long")))
     chunks = F.when(large, F.ceil(F.col("held") / CELL).cast("long")).otherwise(F.lit(1).cast("long"))
     sized = common.join_hot(groups, sizes.withColumn("held", F.col("n")), "root", total or 0)
-    placed = sized.select("key", large.alias("large"), cell.alias("cell"), chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
-    # one row's text for each key: rows are found by number, so copies of a text never gather
-    one = sketches.groupBy("key").agg(F.min("row").alias("row"))
-    texts = sketches.select("row", "text").join(placed.join(one, "key"), "row")
+    placed = sized.select("key", "root", large.alias("large"), cell.alias("cell"), chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    wanted, _ = common.materialize(placed.join(nodes.select("key", "row"), "key"))
+    texts = sketches.select("row", "text").join(wanted, "row")
     texts = texts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    texts = texts.select("key", "text", "large", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    texts = texts.select("key", "root", "text", "large", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     found, found_path = common.materialize(texts.groupBy("large", "cell", "i", "j").applyInPandas(_near_cell, "u long, v long").distinct())
     common.release(spark, before, found_path)
     found.tessera_path = found_path
@@ -410,11 +527,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names, pass through.
     """
     common.bound_batches(docs.sparkSession)
-    key, bands, row = (common.fresh(docs, x) for x in ("key", "bands", "row"))
+    added = ["row", "key", "size", "words", "cells"]
+    row, key, *_ = names = [common.fresh(docs, x) for x in added]
     rows = docs.select(F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(docs.columns))] + ["row long, key long, bands array<long>"])
-    printed, _ = common.materialize(rows.mapInArrow(_sketch_batches, schema).toDF(*docs.columns, row, key, bands))
-    sketches = printed.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(bands).alias("bands"), F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(docs.columns))] + ["row long, key long, size long, words array<long>, cells array<int>"])
+    printed, _ = common.materialize(rows.mapInArrow(_sketch_batches, schema).toDF(*docs.columns, *names))
+    sketches = printed.select(*[F.col(n).alias(x) for n, x in zip(names, added)], F.col(text_col).cast("string").alias("text"))
     prints = printed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp"))
     classes, _ = common.materialize(_classes(prints.select("id", "fp"), near_links(sketches)).select(F.col("fp").alias("class_key"), F.col("component_id").alias("class_id")))
     named = (prints["fp"] == classes["class_key"]) & prints["id"].eqNullSafe(classes["class_id"])
