@@ -87,12 +87,20 @@ def rare_entry(word: bytes) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """The logistic function; x is overwritten."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _row_sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """For each of size places, the sum of the rows at it."""
-    return np.stack([np.bincount(at, column, size) for column in rows.T], axis=1).astype(np.float32)
+def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of at, and for each of them the sum of the rows at it."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(rows[order], first)
 
 
 class Model:
@@ -164,50 +172,60 @@ class Model:
                 places = at[start : start + BATCH]
                 now = entries[places].astype(np.int64)
                 context, vectors, hidden = self.hidden(entries, places)
-                grads, back = {}, np.zeros_like(hidden)
+                back = np.zeros_like(hidden)
+
+                def step(name: str, where: np.ndarray | slice, grad: np.ndarray) -> None:
+                    g = (grad / len(places)).astype(np.float32)
+                    held = squares[name][where] + g * g
+                    squares[name][where] = held
+                    params[name][where] -= rate * g / np.sqrt(held)
+
+                steps_due = []
                 for (vec, bias, size, up_to, shift, k), true in zip(heads, (now, self.class_of[now])):
                     noise = np.minimum(np.searchsorted(up_to, rng.random(k)), size - 1)
                     of_true, of_noise = params[vec][true], params[vec][noise]
                     miss = _sigmoid((hidden * of_true).sum(1) + params[bias][true] - shift[true]) - 1
                     fooled = _sigmoid(hidden @ of_noise.T + (params[bias][noise] - shift[noise]))
-                    grads[vec], grads[bias] = _row_sums(true, hidden * miss[:, None], size), np.bincount(true, miss, size)
-                    np.add.at(grads[vec], noise, fooled.T @ hidden)
-                    np.add.at(grads[bias], noise, fooled.sum(0))
+                    # only entries that occur have a gradient; the last column is the bias
+                    rows = np.concatenate([np.column_stack([hidden * miss[:, None], miss]), np.column_stack([fooled.T @ hidden, fooled.sum(0)])])
+                    where, grad = _row_sums(np.concatenate([true, noise]), rows)
+                    steps_due += [(vec, where, grad[:, :-1]), (bias, where, grad[:, -1])]
                     back += miss[:, None] * of_true + fooled @ of_noise
-                grads["places"] = np.stack([v.T @ back for v in vectors])
-                grads["vectors"] = _row_sums(np.concatenate(context), np.concatenate([back @ m.T for m in params["places"]]), self.size)
-                for n, g in grads.items():
-                    g = (g / len(places)).astype(np.float32)
-                    squares[n] += g * g
-                    params[n] -= rate * g / np.sqrt(squares[n])
+                steps_due.append(("places", slice(None), np.stack([v.T @ back for v in vectors])))
+                steps_due.append(("vectors", *_row_sums(np.concatenate(context), np.concatenate([back @ m.T for m in params["places"]]))))
+                for due in steps_due:
+                    step(*due)
 
     def log_probabilities(self, entries: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 P(entry | the entries before it) at each place of at."""
         out = np.empty(len(at))
         targets, bias = self.params["targets"], self.params["bias"]
+        longest = [max(np.linalg.norm(self.params[v], axis=1).max(), 0) for v in ("targets", "class_targets")]
+        widest = [np.abs(self.params[b]).max() for b in ("bias", "class_bias")]
         for start in range(0, len(at), SLICE):
             places = at[start : start + SLICE]
             now = entries[places].astype(np.int64)
             _, _, hidden = self.hidden(entries, places)
             of_class = self.class_of[now]
+            norm = math.sqrt(np.einsum("ij,ij->i", hidden, hidden).max())
+            safe = [norm * v + b < 50 for v, b in zip(longest, widest)]
             # tokens class by class, so that each class is one product
             order = np.argsort(of_class.astype(np.int16), kind="stable")
             hidden, now, of_class = hidden[order], now[order], of_class[order]
-            found = _chosen(hidden @ self.params["class_targets"].T + self.params["class_bias"], of_class)
+            found = _chosen(hidden @ self.params["class_targets"].T + self.params["class_bias"], of_class, safe[1])
             cuts = np.searchsorted(of_class, np.arange(self.classes + 1))
             for c, (first, last) in enumerate(zip(self.starts, self.ends)):
                 rows = slice(cuts[c], cuts[c + 1])
                 if cuts[c] < cuts[c + 1] and last - first > 1:
-                    found[rows] += _chosen(hidden[rows] @ targets[first:last].T + bias[first:last], now[rows] - first)
+                    found[rows] += _chosen(hidden[rows] @ targets[first:last].T + bias[first:last], now[rows] - first, safe[0])
             out[start + order] = found
         return out / math.log(10)
 
 
-def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row of z at the place given; z is overwritten."""
+def _chosen(z: np.ndarray, at: np.ndarray, safe: bool = False) -> np.ndarray:
+    """The log-softmax of each row of z at the place given; z is overwritten. safe: all of z is known to be small."""
     own = z[np.arange(len(z)), at].astype(float)
-    most = z.max()
-    if most > 60 or z.min() < -80:  # beyond what float32 exponentials add up safely: a shift for each row
+    if not safe and (z.max() > 60 or z.min() < -80):  # beyond what float32 exponentials add up safely: a shift for each row
         most = z.max(1)
         z -= most[:, None]
         return own - most - np.log(np.exp(z, out=z).sum(1))
