@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,30 @@ def release(spark: SparkSession, before: set[str], keep: str | None = None) -> N
     discard(spark, *(p for p in list(_made) if p not in before and p != keep))
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What this Python worker keeps from task to task for the operator; what it kept for another is given back first.
+
+    Workers outlive a stage, so that each stage would otherwise hold what all before it remembered.
+    """
+    if owner not in _remembered:
+        _remembered.clear()
+        _remembered[owner] = {}
+        give_back()
+    return _remembered[owner]
+
+
+def give_back() -> None:
+    """Free pages of this process go back to the system, where the C library can do that."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,3 +113,23 @@ def join_hot(rows: DataFrame, named: DataFrame, key: str, total: int, n: str = "
     hot = F.broadcast(named.filter(many).drop(n))  # 1 / HOT_SHARE rows at most
     cold = rows.join(F.broadcast(named.filter(many).select(key)), key, "left_anti").join(named.filter(~many).drop(n), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+#: Places of sift()'s bitmap.
+SIFT_BITS = 1 << 24
+
+
+def sift(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose long key is surely not among keys, and those whose key may be: an equi-join of the latter decides.
+
+    A broadcast bitmap of SIFT_BITS hashed places tells them apart, so that wide rows of other keys are not shuffled.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIFT_BITS).cast("long"))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    word, bits = fresh(rows, "word"), fresh(rows, "bits")
+    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias(word)).agg(F.bit_or(bit).alias(bits))
+    known = F.broadcast(words)  # SIFT_BITS / 64 rows at most
+    at = fresh(rows, "place")
+    placed = rows.withColumn(at, place).withColumn(word, F.shiftright(at, 6)).join(known, word, "left")
+    held = F.coalesce(F.col(bits).bitwiseAND(F.expr(f"shiftleft(1L, cast(`{at}` % 64 as int))")) != 0, F.lit(False))
+    return placed.filter(~held).select(*rows.columns), placed.filter(held).select(*rows.columns)

@@ -35,8 +35,8 @@ OPEN_BINS = 512
 PACKER_TOKENS = 1 << 26
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 300_000
-#: Words encoded in one call; a longer text costs the tokenizer more for each word.
-TOGETHER = 200
+#: Words encoded in one text, as a longer one costs the tokenizer more for each word, and such texts in one call, as their encodings are large.
+TOGETHER, TEXTS = 200, 32
 
 
 class WordTokenizer:
@@ -110,9 +110,10 @@ class WordTokenizer:
         if together:
             texts = [b" 0 ".join(together[i : i + TOGETHER]).decode() for i in range(0, len(together), TOGETHER)]
             flat: list[int] = []
-            for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                flat += e.ids
-                flat.append(self._parting)
+            for at in range(0, len(texts), TEXTS):
+                for e in self._tokenizer.encode_batch_fast(texts[at : at + TEXTS], add_special_tokens=False):
+                    flat += e.ids
+                    flat.append(self._parting)
             found = np.array(flat, "<u4")
             ends = np.flatnonzero(found == self._parting) * 4
             if len(ends) == len(together):
@@ -138,14 +139,12 @@ class WordTokenizer:
             self._plain[word] = np.array(e.ids, "<u4").tobytes()
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
-    """The worker's own tokenizer, which keeps what it knows from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """The worker's own tokenizer, which keeps what it knows from task to task of this operator."""
+    held = common.remembered("packing")
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def _piece_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -149,6 +149,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text a print, its entities and, if it has one, its distinct terms outside the spans."""
     from pyspark import TaskContext
 
+    common.remembered("pii")
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         prints, entities, terms = [], [], []
@@ -174,6 +175,7 @@ def _mark(bitmap: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.remembered("pii")
         row, known = TaskContext.get().partitionId() << 40, {}
         for batch in batches:
             base, places = [], []
@@ -220,6 +222,7 @@ def _count_terms(bitmap: bytes, copied: bytes | None):
     """How many texts hold a term of the bitmap; those that may be copies are left out, if a bitmap of them is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembered("pii")
         known: dict[bytes, int | None] = {}
         counts: Counter = Counter()
 

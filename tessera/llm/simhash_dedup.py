@@ -342,6 +342,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """The text comes first and goes; a row number, a key of its shingle set, its size, its fingerprint and its cells come last."""
     from pyspark import TaskContext
 
+    common.remembered("simhash")
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         prints, sizes, keys = np.zeros((batch.num_rows, NEAR_WORDS), np.uint64), [], []
@@ -438,6 +439,7 @@ def near_candidates(prints: np.ndarray, sizes: np.ndarray, cells: np.ndarray, si
 
 
 def _near_unit(pdf: pd.DataFrame) -> pd.DataFrame:
+    common.remembered("simhash")
     keys, sizes, cells = (pdf[c].to_numpy("int64") for c in ("key", "size", "cell"))
     prints = np.stack([pdf[f"w{i}"].to_numpy("int64") for i in range(NEAR_WORDS)], axis=1).view(np.uint64)
     one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
@@ -463,6 +465,7 @@ def _near_forest(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray |
 
 
 def _near_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    common.remembered("simhash")
     keys, groups, sets = pdf["key"].to_numpy("int64"), pdf["root"].to_numpy("int64"), [shingles(t) for t in pdf["text"]]
     one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     found = _near_forest(sets, groups, None if one else (pdf["chunk"] == pdf["i"]).to_numpy())
@@ -507,7 +510,8 @@ def near_links(sketches: DataFrame) -> DataFrame:
     sized = common.join_hot(groups, sizes.withColumn("held", F.col("n")), "root", total or 0)
     placed = sized.select("key", "root", large.alias("large"), cell.alias("cell"), chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
     wanted, _ = common.materialize(placed.join(nodes.select("key", "row"), "key"))
-    texts = sketches.select("row", "text").join(wanted, "row")
+    _, texts = common.sift(sketches.select("row", "text"), wanted, "row")
+    texts = texts.join(wanted, "row")
     texts = texts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     texts = texts.select("key", "root", "text", "large", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     found, found_path = common.materialize(texts.groupBy("large", "cell", "i", "j").applyInPandas(_near_cell, "u long, v long").distinct())
@@ -536,8 +540,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = printed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp"))
     classes, _ = common.materialize(_classes(prints.select("id", "fp"), near_links(sketches)).select(F.col("fp").alias("class_key"), F.col("component_id").alias("class_id")))
     named = (prints["fp"] == classes["class_key"]) & prints["id"].eqNullSafe(classes["class_id"])
-    first = prints.join(classes, named, "left_semi").groupBy("id", "fp").agg(F.min("row").alias(row)).select(row)
-    return printed.join(first, row, "left_semi").select(*docs.columns)
+    first, _ = common.materialize(prints.join(classes, named, "left_semi").groupBy("id", "fp").agg(F.min("row").alias(row)).select(row))
+    # texts travel only where a row may be one of those that go
+    gone = prints.select(F.col("row").alias(row)).join(first, row, "left_anti")
+    stay, others = common.sift(printed, gone, row)
+    return stay.unionByName(others.join(first, row, "left_semi")).select(*docs.columns)
 
 
 def hex_print(fp: Column) -> Column:

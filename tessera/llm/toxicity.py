@@ -101,6 +101,7 @@ def density(hits: int, words: int) -> float:
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.remembered("toxicity")
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -124,6 +125,7 @@ def _shapes(text: str, words: int) -> list[int]:
 
 def _describe(wanted: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembered("toxicity")
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             at, n, size, shape = [], [], [], []
@@ -286,6 +288,7 @@ def _score(bias: float, weights: dict[str, float]):
     wanted, values = {p: i for i, p in enumerate(names)}, [weights[p] for p in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remembered("toxicity")
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             scores = []
