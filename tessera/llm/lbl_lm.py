@@ -30,6 +30,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> pa.RecordBatch:
         words = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
         counts.clear()
         return out
 
@@ -86,13 +87,12 @@ def rare_entry(word: bytes) -> int:
     return zlib.crc32(word[:2]) % RARE
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function; x is overwritten."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _wide(rows: np.ndarray, last: np.ndarray | float = 1) -> np.ndarray:
+    """rows with one more column, so that a product with others of that kind adds their biases."""
+    out = np.empty((len(rows), rows.shape[1] + 1), np.float32)
+    out[:, :-1] = rows
+    out[:, -1] = last
+    return out
 
 
 def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(at.astype(np.int16), kind="stable")
     at = at[order]
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first], np.add.reduceat(rows[order], first)
+    return at[first], np.add.reduceat(rows.take(order, axis=0), first)
 
 
 class Model:
@@ -155,7 +155,7 @@ class Model:
     def hidden(self, entries: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """The entries before each place of at, their vectors, and what the matrices make of them."""
         context = [entries[at - i - 1].astype(np.int64) for i in range(CONTEXT)]
-        vectors = [self.params["vectors"][c] for c in context]
+        vectors = [self.params["vectors"].take(c, axis=0) for c in context]
         return context, vectors, sum(v @ m for v, m in zip(vectors, self.params["places"]))
 
     def train(self, texts: list[np.ndarray], passes: int, steps: int, rate: float, seed: int | list[int]) -> None:
@@ -172,25 +172,35 @@ class Model:
                 places = at[start : start + BATCH]
                 now = entries[places].astype(np.int64)
                 context, vectors, hidden = self.hidden(entries, places)
-                back = np.zeros_like(hidden)
+                back, wide = np.zeros_like(hidden), _wide(hidden)
+                sums = wide.sum(0)
 
                 def step(name: str, where: np.ndarray | slice, grad: np.ndarray) -> None:
                     g = (grad / len(places)).astype(np.float32)
                     held = squares[name][where] + g * g
                     squares[name][where] = held
-                    params[name][where] -= rate * g / np.sqrt(held)
+                    np.sqrt(held, out=held)
+                    g *= np.float32(rate)
+                    g /= held
+                    params[name][where] -= g
 
                 steps_due = []
                 for (vec, bias, size, up_to, shift, k), true in zip(heads, (now, self.class_of[now])):
                     noise = np.minimum(np.searchsorted(up_to, rng.random(k)), size - 1)
-                    of_true, of_noise = params[vec][true], params[vec][noise]
-                    miss = _sigmoid((hidden * of_true).sum(1) + params[bias][true] - shift[true]) - 1
-                    fooled = _sigmoid(hidden @ of_noise.T + (params[bias][noise] - shift[noise]))
+                    of_true, of_noise = params[vec].take(true, axis=0), params[vec][noise]
+                    # the logistic function of x is (1 + tanh(x / 2)) / 2
+                    miss = np.einsum("ij,ij->i", hidden, of_true) + (params[bias] - shift).take(true)
+                    miss *= np.float32(0.5)
+                    miss = (np.tanh(miss, out=miss) - 1) / 2
+                    curve = wide @ (_wide(of_noise, params[bias][noise] - shift[noise]).T * np.float32(0.5))
+                    np.tanh(curve, out=curve)
                     # only entries that occur have a gradient; the last column is the bias
-                    rows = np.concatenate([np.column_stack([hidden * miss[:, None], miss]), np.column_stack([fooled.T @ hidden, fooled.sum(0)])])
+                    rows = np.concatenate([wide * miss[:, None], (curve.T @ wide + sums) / 2])
                     where, grad = _row_sums(np.concatenate([true, noise]), rows)
                     steps_due += [(vec, where, grad[:, :-1]), (bias, where, grad[:, -1])]
-                    back += miss[:, None] * of_true + fooled @ of_noise
+                    of_true *= miss[:, None]
+                    back += of_true
+                    back += (curve @ of_noise + of_noise.sum(0)) / 2
                 steps_due.append(("places", slice(None), np.stack([v.T @ back for v in vectors])))
                 steps_due.append(("vectors", *_row_sums(np.concatenate(context), np.concatenate([back @ m.T for m in params["places"]]))))
                 for due in steps_due:
@@ -199,7 +209,7 @@ class Model:
     def log_probabilities(self, entries: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 P(entry | the entries before it) at each place of at."""
         out = np.empty(len(at))
-        targets, bias = self.params["targets"], self.params["bias"]
+        words, classes = (np.ascontiguousarray(_wide(self.params[v], self.params[b]).T) for v, b in (("targets", "bias"), ("class_targets", "class_bias")))
         longest = [max(np.linalg.norm(self.params[v], axis=1).max(), 0) for v in ("targets", "class_targets")]
         widest = [np.abs(self.params[b]).max() for b in ("bias", "class_bias")]
         for start in range(0, len(at), SLICE):
@@ -211,13 +221,13 @@ class Model:
             safe = [norm * v + b < 50 for v, b in zip(longest, widest)]
             # tokens class by class, so that each class is one product
             order = np.argsort(of_class.astype(np.int16), kind="stable")
-            hidden, now, of_class = hidden[order], now[order], of_class[order]
-            found = _chosen(hidden @ self.params["class_targets"].T + self.params["class_bias"], of_class, safe[1])
+            wide, now, of_class = _wide(hidden.take(order, axis=0)), now[order], of_class[order]
+            found = np.concatenate([_chosen(wide[i : i + BATCH] @ classes, of_class[i : i + BATCH], safe[1]) for i in range(0, len(wide), BATCH)])
             cuts = np.searchsorted(of_class, np.arange(self.classes + 1))
             for c, (first, last) in enumerate(zip(self.starts, self.ends)):
                 rows = slice(cuts[c], cuts[c + 1])
                 if cuts[c] < cuts[c + 1] and last - first > 1:
-                    found[rows] += _chosen(hidden[rows] @ targets[first:last].T + bias[first:last], now[rows] - first, safe[0])
+                    found[rows] += _chosen(wide[rows] @ words[:, first:last], now[rows] - first, safe[0])
             out[start + order] = found
         return out / math.log(10)
 
@@ -303,7 +313,7 @@ def _encode(known):
             sizes, numbers, common_logs, common_n, rare, times = [], [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = _split(text)
-                at = np.fromiter((index.get(w, -1) for w in tokens), np.int64, len(tokens))
+                at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
                 own = classes[at]
                 unknown = np.flatnonzero(at < 0).tolist()
                 strange = [tokens[i] for i in unknown]
